@@ -38,7 +38,7 @@ def with_idf(tf: DataFrame, smooth: bool = False) -> DataFrame:
 
 def important_terms(tf: DataFrame, k: int, least: float = 1e-4) -> DataFrame:
     """doc, term, score, rank: the k terms with the largest tf * idf of at least `least`."""
-    scored = with_idf(tf).withColumn("score", F.col("tf") / F.col("z") * F.col("idf")).filter(F.col("score") >= least)
+    scored = with_idf(tf).withColumn("score", F.col("tf") * F.col("idf")).filter(F.col("score") >= least)
     return top_per_group(scored.select("doc", "term", "score"), ["doc"], [F.col("score").desc(), F.col("term")], k)
 
 
@@ -47,12 +47,29 @@ def average_idf(tf: DataFrame) -> DataFrame:
     return with_idf(tf).groupBy("doc").agg(((F.sum(F.col("idf") * F.col("tf")) + 1) / (F.sum("tf") + 1)).alias("avg_idf"))
 
 
+def idf_table(tf: DataFrame) -> DataFrame:
+    """term, idf of a collection, and a row with a null term for terms that it lacks (df 1; M1)."""
+    n = F.broadcast(n_documents(tf))
+    table = document_frequencies(tf).crossJoin(n).select("term", inverse_document_frequency(F.col("n_docs"), F.col("df")).alias("idf"))
+    return table.unionByName(n_documents(tf).select(F.lit(None).cast("string").alias("term"), F.log(F.col("n_docs").cast("double")).alias("idf")))
+
+
+def weighed(tf: DataFrame, idfs: DataFrame, kind: str = "plain", temperature: float = 1.0) -> DataFrame:
+    """doc, term, w, idf of vectors weighed by another collection's idf_table; the kinds are those of components()."""
+    unseen = F.broadcast(idfs.filter("term is null").select(F.col("idf").alias("__unseen")))
+    z = tf.groupBy("doc").agg(F.sum("tf").alias("z"))
+    x = tf.join(idfs.filter("term is not null"), "term", "left").crossJoin(unseen).withColumn("idf", F.coalesce("idf", "__unseen")).join(z, "doc")
+    return x.select("doc", "term", _component(kind, temperature).alias("w"), "idf")
+
+
+def _component(kind: str, temperature: float) -> Column:
+    share = F.col("tf") / F.col("z")
+    return {"plain": share * F.sqrt("idf"), "exp": share * F.exp(F.sqrt("idf") * temperature), "maxexp": share}[kind]
+
+
 def components(tf: DataFrame, kind: str = "plain", temperature: float = 1.0) -> DataFrame:
     """doc, term, w for the cosine family: plain (tf/z) sqrt(idf), exp (tf/z) exp(sqrt(idf) t) (M2, M3); idf for maxexp (M4)."""
-    x = with_idf(tf)
-    share = F.col("tf") / F.col("z")
-    w: Column = {"plain": share * F.sqrt("idf"), "exp": share * F.exp(F.sqrt("idf") * temperature), "maxexp": share}[kind]
-    return x.select("doc", "term", w.alias("w"), "idf")
+    return with_idf(tf).select("doc", "term", _component(kind, temperature).alias("w"), "idf")
 
 
 def cosine(left: DataFrame, right: DataFrame) -> DataFrame:

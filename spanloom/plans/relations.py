@@ -323,9 +323,9 @@ def longest_frequent_prefix(spark: SparkSession, d: str) -> DataFrame:
     return counts.longest_frequent_prefix(p, "p_name", counts.prefixes(p, "p_name"), 20)
 
 
-@C.add("""WITH p AS (SELECT unnest(['Part#1', 'Part#10', 'Part']) AS prefix), c AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1) SELECT prefix, p_name, n FROM p JOIN c ON starts_with(p_name, prefix)""")
+@C.add("""WITH p AS (SELECT unnest(['red', 'blue p', 'old']) AS prefix), c AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1) SELECT prefix, p_name, n FROM p JOIN c ON starts_with(p_name, prefix)""")
 def prefix_completions(spark: SparkSession, d: str) -> DataFrame:
-    return counts.completions(read(spark, d, "part").select("p_name"), "p_name", ["Part#1", "Part#10", "Part"])
+    return counts.completions(read(spark, d, "part").select("p_name"), "p_name", ["red", "blue p", "old"])
 
 
 @C.add("""WITH r AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, event_id FROM events WHERE event_type IS NOT NULL) SELECT user_id, event_id, event_type FROM r WHERE p IS NULL OR p <> event_type""")

@@ -66,16 +66,20 @@ def _enrich(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(-log_upper_tail(c, n, k, m))], names=[*b.schema.names, "enrichment"])
 
 
+def bar(total: int) -> int:
+    """The size above which a key of `total` rows counts as hot."""
+    return max(total // HEAVY_SHARE, 1_000)
+
+
 def join_by_size(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join with a table of one row per key whose column `size` says how many left rows the key has.
 
     Keys with more than 1 / HEAVY_SHARE of the rows are at most HEAVY_SHARE and go by broadcast, so no hot key is shuffled
     into one task; the others are shuffled. left is read twice and should be a written table.
     """
-    bar = max(total // HEAVY_SHARE, 1_000)
-    heavy = F.broadcast(right.filter(F.col(size) > bar))
+    heavy = F.broadcast(right.filter(F.col(size) > bar(total)))
     by_broadcast = left.join(heavy, key)
-    by_shuffle = left.join(heavy.select(key), key, "left_anti").join(right.filter(F.col(size) <= bar), key)
+    by_shuffle = left.join(heavy.select(key), key, "left_anti").join(right.filter(F.col(size) <= bar(total)), key)
     return by_broadcast.unionByName(by_shuffle)
 
 
@@ -103,7 +107,7 @@ def distinctive_terms(occurrences: DataFrame, record: str, term: str) -> DataFra
 
 
 def _has_heavy_records(records: DataFrame, total: int) -> bool:
-    return not records.filter(F.col("__terms") > max(total // HEAVY_SHARE, 1_000)).isEmpty()
+    return not records.filter(F.col("__terms") > bar(total)).isEmpty()
 
 
 def top_terms(scores: DataFrame, by: str, n: int, least_d: int = 1) -> DataFrame:

@@ -97,11 +97,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     table = cut(split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_encode_words(path), "word string, ids array<int>, n bigint"), "table")
     heavy = table.orderBy(F.desc("n"), "word").limit(heavy_words)
     known = {r["word"]: list(r["ids"]) for r in heavy.toLocalIterator()}
-    least = min((r["n"] for r in heavy.agg(F.min("n").alias("n")).collect() if r["n"] is not None), default=0)
+    # words as rare as the rarest heavy one are kept, so no word is missing
+    rest = table.filter(F.col("n") <= (heavy.agg(F.min("n")).head()[0] or 0)) if known else table
     partly = split.mapInArrow(_fill_heavy(known), "k struct<h: binary, l: int>, ids array<int>, at array<int>, missing array<string>")
     partly = cut(partly, "partly")
     holes = partly.filter(F.size("missing") > 0).select("k", F.posexplode("missing").alias("p", "word"))
-    found = holes.join(table.filter(F.col("n") <= least).select("word", F.col("ids").alias("piece")), "word")
+    found = holes.join(rest.select("word", F.col("ids").alias("piece")), "word")
     pieces = found.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "piece"))), lambda x: x["piece"]).alias("pieces"))
     whole = partly.filter(F.size("missing") == 0).select("k", "ids").unionByName(
         partly.filter(F.size("missing") > 0).select("k", "ids", "at").join(pieces, "k").mapInArrow(_fill_holes, "k struct<h: binary, l: int>, ids array<int>")

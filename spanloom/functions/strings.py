@@ -46,7 +46,7 @@ def trim_pretty_words(text: Column, limit: int) -> Column:
     head = F.substring(text, 1, limit)
     kept = F.when(F.instr(head, " ") > 0, F.regexp_replace(head, r" [^ ]*$", "")).otherwise(head)
     gone = F.size(F.split(F.trim(text), r"\s+")) - F.size(F.split(F.trim(kept), r"\s+"))
-    return F.when(F.length(text) > limit, F.concat(kept, F.lit(" ..."), gone.cast("string"), F.lit(" words"))).otherwise(text)
+    return F.when(F.length(text) > limit, F.concat(kept, F.lit(" ... "), gone.cast("string"), F.lit(" words"))).otherwise(text)
 
 
 def join_items(items: Column, separator: str) -> Column:

@@ -26,5 +26,5 @@ def out_of_dictionary(df: DataFrame, value: str, ids: DataFrame) -> DataFrame:
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n: what should be unique and isn't."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """keys, n_rows: what should be unique and isn't."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.running import running
+
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:
     """keys, n: occurrences as bigint (A1); partial sums leave each task, so hot keys send one row per task."""
@@ -81,22 +83,13 @@ def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
     Ids are ranks within ranges plus the sizes of the ranges before: the sort is spread over the cluster, no task sees all.
     """
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"))
-    return dense_ids(first, [F.col("__first"), F.col(value)], "id").drop("__first")
-
+    return dense_ids(first, ["__first", value], "id").drop("__first")
 
-def dense_ids(df: DataFrame, order: list[Column], to: str) -> DataFrame:
-    """df with ids 0, 1, ... in the given total order, by a range sort and per-range offsets."""
-    from spanloom.session import cut
 
-    ranged = cut(df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__part")), "ranged")
-    sizes = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())
-    start, offsets = 0, []
-    for part, size in sizes:
-        offsets.append((part, start))
-        start += size
-    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __start bigint"))
-    w = Window.partitionBy("__part").orderBy(*order)
-    return ranged.join(table, "__part").withColumn(to, F.col("__start") + F.row_number().over(w) - 1).drop("__part", "__start")
+def dense_ids(df: DataFrame, order: list[str], to: str) -> DataFrame:
+    """df with ids 0, 1, ... in the given total order (a leading minus turns a column), by a range sort and per-range offsets."""
+    out = running(df, [], order, {"__id": F.lit(1)})
+    return out.withColumn(to, F.col("__id") - 1).drop("__id", "__id_total")
 
 
 def encode(df: DataFrame, value: str, ids: DataFrame) -> DataFrame:
@@ -142,4 +135,4 @@ def assign_feature_ids(counted: DataFrame, path: str, n: str = "n", least: int =
     kept = counted.filter(F.col(n) >= least)
     parent = kept.filter(F.size(path) > 0).groupBy(F.slice(F.col(path), F.lit(1), F.size(path) - 1).alias(path)).agg(F.count(F.lit(1)).alias("__children"))
     ranked = kept.join(parent, path, "left").withColumn("priority", F.col(n) - F.sqrt(F.coalesce("__children", F.lit(0)))).drop("__children")
-    return dense_ids(ranked, [F.col("priority").desc(), F.col(path)], "id").filter(F.col("id") < most)
+    return dense_ids(ranked, ["-priority", path], "id").filter(F.col("id") < most)

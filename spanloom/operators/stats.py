@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.numbers import f_measure, safe_ratio
+from spanloom.operators.running import running
 
 
 def order_statistics(df: DataFrame, group: list[str], value: str, orders: list[float] = (0.0, 0.25, 0.5, 0.75, 1.0), name: str = "q") -> DataFrame:
     """group, n, mean and one column per order: the value at index floor(p n), at most n - 1.
 
-    Values are counted per (group, value) first and positions come from running counts, so a group is a sorted stream of
-    distinct values, not a list. Null values don't count.
+    Values are counted per (group, value) first; positions come from running counts over a range sort, so no group is
+    gathered in a task. Null values don't count.
     """
     per = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
-    whole = Window.partitionBy(*group)
-    running = whole.orderBy(value)
-    ranked = per.withColumn("__end", F.sum("__n").over(running)).withColumn("__total", F.sum("__n").over(whole))
-    at = lambda p: F.least(F.floor(F.lit(float(p)) * F.col("__total")), F.col("__total") - 1)
+    ranked = running(per, list(group), [value], {"__end": F.col("__n")})
+    total = F.col("__end_total")
+    at = lambda p: F.least(F.floor(F.lit(float(p)) * total), total - 1)
     picks = [F.max(F.when((at(p) < F.col("__end")) & (at(p) >= F.col("__end") - F.col("__n")), F.col(value))).alias(f"{name}{round(p * 100)}") for p in orders]
-    return ranked.groupBy(*group).agg(F.max("__total").alias("n"), (F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"), *picks)
+    return ranked.groupBy(*group).agg(F.max(total).alias("n"), (F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"), *picks)
 
 
 def arg_best(df: DataFrame, group: list[str], item: str, score: str, order: str, largest: bool = True) -> DataFrame:
@@ -36,13 +36,12 @@ def arg_best(df: DataFrame, group: list[str], item: str, score: str, order: str,
 def exponential_average(df: DataFrame, group: list[str], value: str, order: list[str], decay: float) -> DataFrame:
     """group, n, ema: the first value, then decay * ema + (1 - decay) * value in the stated order.
 
-    The fold has the closed form sum of w_i x_i with w_i = (1 - d) d^(n - i), w_1 = d^(n - 1), so it is two sorted windows
-    and a sum: no list is gathered, whatever the size of a group.
+    The fold has the closed form sum of w_i x_i with w_i = (1 - d) d^(n - i), w_1 = d^(n - 1), so it is a running count over
+    a range sort and a sum: no group is gathered in a task, whatever its size.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    weight = F.pow(F.lit(float(decay)), F.col("__n") - F.col("__i")) * F.when(F.col("__i") == 1, 1.0).otherwise(1.0 - decay)
-    return ranked.groupBy(*group).agg(F.max("__n").alias("n"), F.sum(weight * F.col(value)).alias("ema"))
+    ranked = running(df.filter(F.col(value).isNotNull()).select(*group, *dict.fromkeys([value, *order])), list(group), order, {"__i": F.lit(1)})
+    weight = F.pow(F.lit(float(decay)), F.col("__i_total") - F.col("__i")) * F.when(F.col("__i") == 1, 1.0).otherwise(1.0 - decay)
+    return ranked.groupBy(*group).agg(F.max("__i_total").alias("n"), F.sum(weight * F.col(value)).alias("ema"))
 
 
 def floor_zero_summary(df: DataFrame, group: list[str], weight: str) -> DataFrame:
@@ -91,29 +90,18 @@ def best_threshold(df: DataFrame, gold: str, score: str, order: str, mode: str =
     """threshold, score: the midpoint between neighbouring scores that maximises F1 or accuracy less penalty * threshold^2.
 
     Cuts before the second and after the last but one score aren't tried; (0, 0) is the start, which only a better score
-    replaces; the lowest of equal thresholds wins. Rows tie by `order`. Running counts come from a range sort with per-range
-    offsets, so the sweep is spread over the cluster; NaN scores are left out.
+    replaces; the lowest of equal thresholds wins. Rows tie by `order`. Running counts come from a range sort, so the sweep
+    is spread over the cluster; NaN scores are left out.
     """
-    from spanloom.operators.counts import dense_ids
-    from spanloom.session import cut
-
     rows = df.select(F.coalesce(F.col(gold), F.lit(False)).cast("int").alias("y"), F.col(score).cast("double").alias("s"), F.col(order).alias("o")).filter("s is not null and not isnan(s)")
-    ids = cut(dense_ids(rows, [F.col("s"), F.col("o")], "i"), "sweep")
-    n, pos = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).head()
-    # blocks of the sweep: positives before each block are few numbers, the rest is a window inside a block
-    block = 100_000
-    ids = ids.withColumn("b", F.floor(F.col("i") / block))
-    sums = ids.groupBy("b").agg(F.sum("y").alias("p"), F.min("s").alias("first")).orderBy("b")
-    wb = Window.orderBy("b")
-    starts = sums.select("b", F.coalesce(F.sum("p").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first").over(wb).alias("next"))
-    w = Window.partitionBy("b").orderBy("i")
-    swept = ids.join(F.broadcast(starts), "b").withColumn("fn", F.col("before") + F.sum("y").over(w)).withColumn("up", F.coalesce(F.lead("s").over(w), F.col("next")))
-    tp = F.lit(pos) - F.col("fn")
+    swept = running(rows, [], ["s", "o"], {"fn": F.col("y"), "k": F.lit(1)}, lead={"up": "s"}).withColumn("i", F.col("k") - 1)
+    n, pos = F.col("k_total"), F.col("fn_total")
+    tp = pos - F.col("fn")
     tn = F.col("i") + 1 - F.col("fn")
-    fp = F.lit(n) - F.col("i") - 1 - tp
+    fp = n - F.col("i") - 1 - tp
     thresh = (F.col("s") + F.col("up")) / 2
     prec, rec = tp / F.when(tp + fp != 0, tp + fp), tp / F.when(tp + F.col("fn") != 0, tp + F.col("fn"))
-    value = 2 * prec * rec / F.when(prec + rec != 0, prec + rec) if mode == "f1" else (tp + tn) / F.lit(n)
+    value = 2 * prec * rec / F.when(prec + rec != 0, prec + rec) if mode == "f1" else (tp + tn) / n
     tried = swept.filter((F.col("i") >= 1) & (F.col("i") < n - 1)).select(thresh.alias("threshold"), (value - F.lit(penalty) * thresh * thresh).alias("score")).filter("score > 0")
     best = tried.agg(F.max(F.struct("score", (-F.col("threshold")).alias("t"))).alias("b"))
     return best.select(F.coalesce(-F.col("b.t"), F.lit(0.0)).alias("threshold"), F.coalesce("b.score", F.lit(0.0)).alias("score"))

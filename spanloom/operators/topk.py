@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.running import running
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """df with `rank`, the k best of each group by a total order; k <= 0 keeps all."""
@@ -31,11 +33,13 @@ def prune(df: DataFrame, weight: str, eps: float) -> DataFrame:
     return df.filter(F.abs(weight) > eps)
 
 
-def prune_by_ratio(df: DataFrame, group: list[str], weight: str, order: list[Column], ratio: float) -> DataFrame:
-    """The leading rows of each group until their cumulative share reaches ratio (W5); the row that crosses it stays."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    before = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return df.withColumn("__before", before / F.sum(weight).over(Window.partitionBy(*group))).filter(F.col("__before") < ratio).drop("__before")
+def prune_by_ratio(df: DataFrame, group: list[str], weight: str, order: list[str], ratio: float) -> DataFrame:
+    """The leading rows of each group until their cumulative share reaches ratio (W5); the row that crosses it stays.
+
+    order names columns, a leading minus turns one; the sums run over a range sort, so no group is gathered in a task.
+    """
+    summed = running(df, group, order, {"__sum": F.col(weight)})
+    return summed.filter((F.col("__sum") - F.col(weight)) / F.col("__sum_total") < ratio).select(*df.columns)
 
 
 def by_magnitude(df: DataFrame, weight: str, tie: str, k: int) -> DataFrame:

@@ -38,8 +38,9 @@ def resolve_pairs(rows: DataFrame, inventory: DataFrame, attr: str = "attr", val
     """rows with `attr_known` (the inventory's spelling, null if unknown) and `val_read` (the value as the inventory spells it, null if unreadable).
 
     inventory: attr, val_type (category, whole, flag), val, long_name. It is one row per attribute after grouping, so it
-    is broadcast once its size is checked.
+    is broadcast once its size is checked. Columns of rows that are named like the new ones are replaced.
     """
+    rows = rows.drop("attr_known", "val_read")
     inv = inventory.filter("attr is not null").withColumn("__vk", name_key(F.col("val"))).withColumn("__lk", name_key(F.col("long_name")))
     pairs = F.collect_list(F.when(F.col("val").isNotNull(), F.array(F.struct(F.col("__vk").alias("k"), F.col("val").alias("v")), F.struct(F.col("__lk").alias("k"), F.col("val").alias("v")))))
     listed = F.filter(F.flatten(pairs), lambda x: x["k"].isNotNull() & (x["k"] != ""))
@@ -98,8 +99,8 @@ def cells_of(wide: DataFrame, entity: str) -> DataFrame:
 
 
 def failures(rows: DataFrame, inventory: DataFrame, attr: str = "attr", val: str = "val") -> DataFrame:
-    """All rows that fill no cell, with the reason: no name, unknown attribute, no value, unreadable value."""
-    r = resolve_pairs(rows, inventory, attr, val)
+    """All rows that fill no cell, with the reason: no name, unknown attribute, no value, unreadable value. A column `reason` of rows is replaced."""
+    r = resolve_pairs(rows.drop("reason"), inventory, attr, val)
     blank = F.coalesce(F.trim(F.col(attr)), F.lit("")) == ""
     reason = F.when(blank, "no name").when(F.col("attr_known").isNull(), "unknown attribute").when(F.coalesce(F.trim(F.col(val)), F.lit("")) == "", "no value").otherwise("unreadable value")
     return r.filter("val_read is null").withColumn("reason", reason).drop("val_read")

@@ -71,4 +71,37 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p4_wide, p4_failures, p5_found, p5_valid, p6_found, p6_hierarchies, p6_descendants)}
-SQL: dict[str, str] = {}
+_PAIR = "[A-Z][A-Za-z0-9]*(\\[[A-Za-z0-9]+\\])?=[A-Z0-9][A-Za-z0-9]*(,[A-Z0-9][A-Za-z0-9]*)*"
+
+SQL = {
+    "p4_found": """WITH inv AS (SELECT attr, val_type, val, long_name FROM feat_inventory WHERE attr IS NOT NULL),
+nk AS (SELECT DISTINCT regexp_replace(lower(attr), '[^a-z0-9]', '', 'g') AS k, attr, val_type FROM inv),
+vk AS (SELECT attr, val, regexp_replace(lower(val), '[^a-z0-9]', '', 'g') AS k FROM inv WHERE val IS NOT NULL UNION SELECT attr, val, regexp_replace(lower(long_name), '[^a-z0-9]', '', 'g') FROM inv WHERE val IS NOT NULL),
+lst AS (SELECT attr, count(val) AS n FROM inv GROUP BY 1),
+r AS (SELECT f.*, nk.attr AS a, nk.val_type AS vt, regexp_replace(lower(regexp_replace(trim(f.val), '^([A-Za-z0-9_-]+[.:]+)+([A-Za-z0-9])', '\\2')), '[^a-z0-9]', '', 'g') AS k, lower(regexp_replace(f.val, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')) AS fl,
+CASE WHEN regexp_full_match(trim(f.val), '\\+?[0-9]+(\\.0*)?') THEN regexp_replace(regexp_extract(trim(f.val), '[0-9]+'), '^0+([0-9])', '\\1') END AS num
+FROM conllu_feats f JOIN nk ON nk.k = regexp_replace(lower(regexp_replace(trim(f.attr), '^([A-Za-z0-9_-]+[.:]+)+([A-Za-z0-9])', '\\2')), '[^a-z0-9]', '', 'g') WHERE f.word_id IS NOT NULL),
+x AS (SELECT r.word_id, r.a, r.loaded_at, r.row_no, CASE vt WHEN 'category' THEN vk.val WHEN 'flag' THEN CASE WHEN fl IN ('true', 't', 'yes', 'y', 'on', '1') THEN 'true' WHEN fl IN ('false', 'f', 'no', 'n', 'off', '0') THEN 'false' END
+ELSE CASE WHEN lst.n = 0 THEN num WHEN num IS NULL THEN vk.val WHEN num IN (SELECT val FROM inv i WHERE i.attr = r.a AND val IS NOT NULL) THEN num END END AS v FROM r JOIN lst ON lst.attr = r.a LEFT JOIN vk ON vk.attr = r.a AND vk.k = r.k)
+SELECT word_id, a AS attr, v AS val FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NOT NULL) WHERE rn = 1""",
+    "p5_found": f"""WITH l AS (SELECT line_id, regexp_replace(regexp_replace(line, '^' || chr(65279), ''), chr(13) || '$', '') AS t FROM conllu_lines WHERE line IS NOT NULL),
+f AS (SELECT line_id, string_split(t, chr(9)) AS c FROM l WHERE NOT starts_with(t, '#') AND NOT regexp_full_match(t, '[ \\t\\n\\r\\f\\x0B]*')),
+g AS (SELECT line_id, len(c) AS n, c[1] AS id, c[6] AS feats, c[7] AS head, length(c[6]) - length(replace(c[6], '"', '')) AS q FROM f),
+h AS (SELECT *, q = 2 AND length(feats) >= 2 AND starts_with(feats, '"') AND ends_with(feats, '"') AS around FROM g),
+k AS (SELECT *, CASE WHEN around THEN feats[2:length(feats) - 1] ELSE feats END AS bare FROM h),
+r AS (SELECT line_id, CASE WHEN n <> 10 THEN 'columns' WHEN q > 0 AND NOT around THEN 'quoting'
+WHEN NOT (regexp_full_match(id, '[1-9][0-9]*') OR regexp_full_match(id, '(0|[1-9][0-9]*)\\.[1-9][0-9]*') OR (regexp_full_match(id, '[1-9][0-9]*-[1-9][0-9]*') AND TRY_CAST(split_part(id, '-', 1) AS HUGEINT) < TRY_CAST(split_part(id, '-', 2) AS HUGEINT))) THEN 'id'
+WHEN regexp_full_match(id, '[1-9][0-9]*') AND (NOT regexp_full_match(head, '0|[1-9][0-9]*') OR head = id) THEN 'head' WHEN NOT regexp_full_match(id, '[1-9][0-9]*') AND head <> '_' THEN 'head'
+WHEN bare <> '_' AND (NOT regexp_full_match(bare, '{_PAIR}(\\|{_PAIR})*') OR len(list_distinct([split_part(x, '=', 1) for x in string_split(bare, '|')])) <> len(string_split(bare, '|'))) THEN 'feats' END AS reason FROM k)
+SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+    "p6_found": """WITH RECURSIVE cn AS (SELECT parse_id, cons, parent, left_child, right_sib FROM (SELECT *, row_number() OVER (PARTITION BY parse_id, cons ORDER BY loaded_at DESC NULLS LAST) AS rn FROM constituents) WHERE rn = 1),
+own AS (SELECT parse_id, left_child AS cons, min(cons) AS q FROM cn WHERE left_child >= 0 GROUP BY 1, 2),
+lead AS (SELECT parse_id, cons, q, 0 AS hop FROM own UNION ALL SELECT l.parse_id, c.right_sib, q, hop + 1 FROM lead l JOIN cn c ON c.parse_id = l.parse_id AND c.cons = l.cons WHERE c.right_sib >= 0 AND hop < 200),
+led AS (SELECT parse_id, cons, arg_min(q, hop * 100000 + q) AS q FROM lead GROUP BY 1, 2),
+cw AS (SELECT sent_id, TRY_CAST(id AS BIGINT) AS node, head FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM conllu) WHERE rn = 1 AND regexp_full_match(id, '[0-9]+')),
+n AS (SELECT 'constituents' AS source, cn.parse_id AS tree_id, cn.cons::BIGINT AS node, CASE WHEN parent >= 0 THEN parent WHEN parent IS NULL THEN q END::BIGINT AS up, parent < 0 OR (parent IS NULL AND q IS NULL) AS is_root FROM cn LEFT JOIN led USING (parse_id, cons)
+UNION ALL SELECT 'conllu', sent_id, node, CASE WHEN regexp_full_match(head, '[0-9]+') THEN TRY_CAST(head AS BIGINT) END, coalesce(regexp_full_match(head, '[0-9]+') AND TRY_CAST(head AS BIGINT) = 0, false) FROM cw WHERE node IS NOT NULL),
+p AS (SELECT source, tree_id, node, node::VARCHAR AS path FROM n WHERE is_root UNION ALL SELECT n.source, n.tree_id, n.node, p.path || '/' || n.node FROM p JOIN n ON n.source = p.source AND n.tree_id = p.tree_id AND n.up = p.node AND NOT coalesce(n.is_root, false)),
+d AS (SELECT n.source, n.tree_id, n.node FROM n LEFT JOIN n m ON m.source = n.source AND m.tree_id = n.tree_id AND m.node = n.up WHERE NOT coalesce(n.is_root, false) AND m.node IS NULL UNION ALL SELECT n.source, n.tree_id, n.node FROM d JOIN n ON n.source = d.source AND n.tree_id = d.tree_id AND n.up = d.node AND NOT coalesce(n.is_root, false))
+SELECT n.source, n.tree_id, n.node, coalesce(p.path, CASE WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END) AS path FROM n LEFT JOIN p USING (source, tree_id, node) LEFT JOIN d USING (source, tree_id, node)""",
+}

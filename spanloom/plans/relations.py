@@ -50,7 +50,7 @@ def sparse_vector_cosine_users(spark: SparkSession, d: str) -> DataFrame:
 SELECT o_custkey, o_orderkey FROM o WHERE before / z < 0.5""")
 def prune_by_ratio(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return topk.prune_by_ratio(o, ["o_custkey"], "o_totalprice", [F.col("o_totalprice").desc(), F.col("o_orderkey")], 0.5).select("o_custkey", "o_orderkey")
+    return topk.prune_by_ratio(o, ["o_custkey"], "o_totalprice", ["-o_totalprice", "o_orderkey"], 0.5).select("o_custkey", "o_orderkey")
 
 
 @C.add("SELECT event_id, value FROM events WHERE abs(value) > 50")

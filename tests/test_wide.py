@@ -46,7 +46,8 @@ def test_latest_readable_counts_and_types(spark):
     assert got[1].cells == {"Case": "Acc", "NumValue": "1" * 50, "Person": "2"}
     assert got[1].case == "Acc" and got[1].person == Decimal(2) and got[1].numvalue is None and got[1].poss is None
     assert got[1].unread == {"Poss": "partly"}
-    assert {r.row_no: r.reason for r in wide.failures(df, inv).collect()} == {3: "unreadable value", 5: "unreadable value", 6: "unreadable value"}
+    clash = df.withColumns({"attr_known": F.lit(1), "val_read": F.lit("x"), "reason": F.lit("y")})
+    assert {r.row_no: r.reason for r in wide.failures(clash, inv).collect()} == {3: "unreadable value", 5: "unreadable value", 6: "unreadable value"}
 
 
 def test_empty(spark):

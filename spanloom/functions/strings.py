@@ -123,3 +123,24 @@ def uuid_text(high: Column, low: Column) -> Column:
     """The inverse of uuid_halves."""
     hexed = F.lower(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")))
     return F.regexp_replace(hexed, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def show_weights(names: Column, weights: Column, max_chars: int) -> Column:
+    """The sum and as many named weights, largest first, as fit into max_chars, then how many more there are."""
+
+    @F.pandas_udf("string")
+    def run(ns: pd.Series, ws: pd.Series) -> pd.Series:
+        out = []
+        for n, w in zip(ns, ws):
+            items = sorted(zip(w, n), key=lambda x: (-abs(x[0]), x[1]))
+            text = f"{sum(w):.2f}"
+            shown = 0
+            for value, name in items:
+                more = f" {name}:{value:.2f}"
+                if len(text) + len(more) > max_chars:
+                    break
+                text, shown = text + more, shown + 1
+            out.append(text + (f" and {len(items) - shown} more" if shown < len(items) else ""))
+        return pd.Series(out)
+
+    return run(names, weights)

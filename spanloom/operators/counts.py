@@ -136,3 +136,17 @@ def assign_feature_ids(counted: DataFrame, path: str, n: str = "n", least: int =
     parent = kept.filter(F.size(path) > 0).groupBy(F.slice(F.col(path), F.lit(1), F.size(path) - 1).alias(path)).agg(F.count(F.lit(1)).alias("__children"))
     ranked = kept.join(parent, path, "left").withColumn("priority", F.col(n) - F.sqrt(F.coalesce("__children", F.lit(0)))).drop("__children")
     return dense_ids(ranked, ["-priority", path], "id").filter(F.col("id") < most)
+
+
+def prefix_changes(words: DataFrame, word: str, counted: DataFrame) -> DataFrame:
+    """word, prefix, n, ratio: the counts along each distinct word's prefixes and how much of the count before each keeps."""
+    w = words.select(word).distinct()
+    each = w.select(word, F.explode(F.transform(F.sequence(F.lit(0), F.length(word)), lambda i: F.substring(F.col(word), F.lit(1), i))).alias("prefix"))
+    along = Window.partitionBy(word).orderBy(F.length("prefix"))
+    return each.join(counted, "prefix").select(word, "prefix", "n", (F.col("n") / F.lag("n").over(along)).alias("ratio"))
+
+
+def path_ids(paths: DataFrame, keys: list[str], path: str, ids: DataFrame) -> DataFrame:
+    """keys, id: the features along each path that have an id (V8). ids: path, id."""
+    p = F.transform(F.sequence(F.lit(0), F.size(path)), lambda i: F.slice(F.col(path), F.lit(1), i))
+    return paths.select(*keys, F.explode(p).alias("path")).join(ids, "path").select(*keys, "id")

@@ -191,3 +191,13 @@ def search_groups(df: DataFrame, group: str, moves_of: Callable[[pd.DataFrame],
         return pd.DataFrame({group: [pdf[group].iloc[0]], "state": [str(state)], "score": [float(score)]})
 
     return df.groupBy(group).applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, state string, score double")
+
+
+def muted(score: Column, forward: bool = True) -> Column:
+    """A score that is 0 while its forward pass is off (L4)."""
+    return score if forward else score * 0.0
+
+
+def loss_augmented(score: Column, is_gold: Column, loss: float, searching: bool = True) -> Column:
+    """The score plus the loss of a wrong choice, during search only (L4)."""
+    return score + F.when(is_gold, 0.0).otherwise(loss) if searching else score

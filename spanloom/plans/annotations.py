@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import tags
-from spanloom.operators import counts, hierarchy, joins, trees, vectors
+from spanloom.operators import counts, hierarchy, joins, layers, trees, vectors
 from spanloom.plans.catalogue import Catalogue
 from spanloom.plans.problems import constituent_nodes, word_nodes
 from spanloom.sources.annotated import cluster_of
@@ -169,9 +169,41 @@ def head_percolation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["head_percolation"] = head_percolation
 
 
-def subtree_extent(spark: SparkSession, d: str) -> DataFrame:
+def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Subtree sizes of all constituents, held against a brute-force walk in the tests."""
     return hierarchy.hierarchy(constituent_nodes(spark, d)).filter("state = 'tree'").select("tree", "node", "depth", "subtree_size")
 
 
-QUERIES["subtree_extent"] = subtree_extent
+QUERIES["subtree_sizes"] = subtree_sizes
+
+
+@C.add(f"""WITH RECURSIVE {_CUR}, n AS (SELECT sent_id, id::BIGINT AS node, nullif(TRY_CAST(head AS BIGINT), 0) AS head FROM cur), k AS (SELECT sent_id, head AS p, min(node) AS f, max(node) AS l FROM n WHERE head IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT sent_id, node, node AS x, 0 AS hop FROM n UNION ALL SELECT c.sent_id, c.node, k.f, hop + 1 FROM c JOIN k ON k.sent_id = c.sent_id AND k.p = c.x WHERE hop < 200),
+ok AS (SELECT sent_id, node FROM c GROUP BY 1, 2 HAVING max(hop) < 100),
+b AS (SELECT c.sent_id, c.node, min(c.x) AS s, greatest(c.node, coalesce(max(k.l), c.node)) + 1 AS e FROM c JOIN ok USING (sent_id, node) LEFT JOIN k ON k.sent_id = c.sent_id AND k.p = c.x GROUP BY 1, 2) SELECT sent_id, node, s AS "start", e AS "end" FROM b""")
+def subtree_extent(spark: SparkSession, d: str) -> DataFrame:
+    """Extents along left-child chains; words whose chain runs in a ring have none."""
+    nodes = word_nodes(spark, d).select(F.col("tree").alias("sent_id"), "node", F.when(~F.coalesce("is_root", F.lit(False)), F.col("parent")).alias("parent"))
+    return trees.extents(nodes, "sent_id")
+
+
+@C.add(f"""WITH {_CUR} SELECT text_id, min(sent_id) AS first, max(sent_id) AS last, count(*) AS n_parts FROM (SELECT DISTINCT text_id, sent_id FROM cur) GROUP BY 1""")
+def section_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = current_words(read(spark, d, "conllu"), ["text_id", "sent_id", "id"]).filter(F.col("id").rlike(PLAIN_NUMBER)).select("text_id", "sent_id").distinct()
+    out = layers.spans_of_parts(rows.select("text_id", F.col("sent_id").alias("first"), F.col("sent_id").alias("last")), ["text_id"], "first", "last")
+    return out
+
+
+@C.add(f"""WITH {_CUR}, w AS (SELECT sent_id, id::BIGINT AS tok, coalesce(form, '_') AS form FROM cur) SELECT sent_id, string_agg(form, ' ' ORDER BY tok, form) AS text FROM w WHERE tok BETWEEN 2 AND 5 GROUP BY 1""")
+def token_slices(spark: SparkSession, d: str) -> DataFrame:
+    w = _words(spark, d, "form").withColumn("form", F.coalesce("form", F.lit("_")))
+    s = w.select("sent_id").distinct().select("sent_id", F.lit(0).alias("sid"), F.lit(2).alias("first"), F.lit(5).alias("last"))
+    return layers.slices(w, s, ["sent_id"], "tok", "form", "first", "last", "sid").drop("sid")
+
+
+@C.add(f"""WITH {_CUR}, s AS (SELECT text_id, sent_id, count(*) AS n FROM cur GROUP BY 1, 2), o AS (SELECT sent_id, coalesce(sum(n) OVER (PARTITION BY text_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_tok FROM s)
+SELECT cur.sent_id, cur.id::BIGINT AS tok, first_tok + cur.id::BIGINT AS doc_tok FROM cur JOIN o USING (sent_id)""")
+def document_token_numbers(spark: SparkSession, d: str) -> DataFrame:
+    w = _words(spark, d, "text_id").select("text_id", "sent_id", "tok")
+    s = w.groupBy("text_id", "sent_id").agg(F.count("*").alias("length"))
+    return layers.document_tokens(w, s, ["text_id"], "sent_id", "tok").select("sent_id", "tok", "doc_tok")

@@ -328,6 +328,22 @@ def prefix_completions(spark: SparkSession, d: str) -> DataFrame:
     return counts.completions(read(spark, d, "part").select("p_name"), "p_name", ["red", "blue p", "old"])
 
 
+@C.add("""WITH w AS (SELECT DISTINCT p_name FROM part), a AS (SELECT p_name, unnest(range(0, length(p_name) + 1)) AS k FROM part), c AS (SELECT substring(p_name, 1, k) AS prefix, count(*) AS n FROM a GROUP BY 1)
+SELECT w.p_name, c.prefix, c.n, round(c.n / lag(c.n) OVER (PARTITION BY w.p_name ORDER BY length(c.prefix)), 6) AS ratio FROM w JOIN c ON starts_with(w.p_name, c.prefix)""")
+def prefix_change_points(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").filter("p_name is not null").select("p_name")
+    return counts.prefix_changes(p, "p_name", counts.prefixes(p, "p_name")).withColumn("ratio", F.round("ratio", 6))
+
+
+@C.add("""WITH p AS (SELECT p_partkey, [p_brand, p_type, p_size::VARCHAR] AS path FROM part), x AS (SELECT p_partkey, path[1:k] AS path FROM p, (SELECT unnest(range(0, 4)) AS k)), c AS (SELECT path, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 5),
+ch AS (SELECT path[1:len(path) - 1] AS path, count(*) AS children FROM c WHERE len(path) > 0 GROUP BY 1), r AS (SELECT c.path, row_number() OVER (ORDER BY n - sqrt(coalesce(children, 0)) DESC, c.path) - 1 AS id FROM c LEFT JOIN ch ON c.path = ch.path)
+SELECT p_partkey, id FROM x JOIN r ON x.path = r.path""")
+def path_feature_ids(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select("p_partkey", F.array("p_brand", "p_type", F.col("p_size").cast("string")).alias("path"))
+    ids = counts.assign_feature_ids(_trie(spark, d), "path").select("path", "id")
+    return counts.path_ids(p, ["p_partkey"], "path", ids)
+
+
 @C.add("""WITH r AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, event_id FROM events WHERE event_type IS NOT NULL) SELECT user_id, event_id, event_type FROM r WHERE p IS NULL OR p <> event_type""")
 def repeat_suppression(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").filter("event_type is not null").select("user_id", "event_id", "ts", "event_type")

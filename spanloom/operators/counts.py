@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.running import running
+from spanloom.session import with_scalar
 
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -17,7 +18,7 @@ def proportions(counted: DataFrame, n: str = "n") -> DataFrame:
     """counted with `share` of the total, 0 if the total is 0 (A2, A5). The total is one broadcast row, not a global window."""
     total = counted.agg(F.sum(n).alias("__total"))
     share = F.when(F.col("__total") > 0, F.col(n) / F.col("__total")).otherwise(0.0)
-    return counted.crossJoin(F.broadcast(total)).withColumn("share", share).drop("__total")
+    return with_scalar(counted, total).withColumn("share", share).drop("__total")
 
 
 def total_and_distinct(counted: DataFrame, n: str = "n") -> DataFrame:

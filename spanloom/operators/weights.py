@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.numbers import inverse_document_frequency
 from spanloom.operators.topk import top_per_group
+from spanloom.session import with_scalar
 
 
 def whitespace_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,7 +33,7 @@ def n_documents(tf: DataFrame) -> DataFrame:
 def with_idf(tf: DataFrame, smooth: bool = False) -> DataFrame:
     """tf with df, n_docs, z (terms in the document) and idf. The count of documents is one broadcast row; df joins by term."""
     z = tf.groupBy("doc").agg(F.sum("tf").alias("z"))
-    j = tf.join(document_frequencies(tf), "term").join(z, "doc").crossJoin(F.broadcast(n_documents(tf)))
+    j = with_scalar(tf.join(document_frequencies(tf), "term").join(z, "doc"), n_documents(tf))
     return j.withColumn("idf", inverse_document_frequency(F.col("n_docs"), F.col("df"), smooth))
 
 
@@ -49,16 +50,15 @@ def average_idf(tf: DataFrame) -> DataFrame:
 
 def idf_table(tf: DataFrame) -> DataFrame:
     """term, idf of a collection, and a row with a null term for terms that it lacks (df 1; M1)."""
-    n = F.broadcast(n_documents(tf))
-    table = document_frequencies(tf).crossJoin(n).select("term", inverse_document_frequency(F.col("n_docs"), F.col("df")).alias("idf"))
+    table = with_scalar(document_frequencies(tf), n_documents(tf)).select("term", inverse_document_frequency(F.col("n_docs"), F.col("df")).alias("idf"))
     return table.unionByName(n_documents(tf).select(F.lit(None).cast("string").alias("term"), F.log(F.col("n_docs").cast("double")).alias("idf")))
 
 
 def weighed(tf: DataFrame, idfs: DataFrame, kind: str = "plain", temperature: float = 1.0) -> DataFrame:
     """doc, term, w, idf of vectors weighed by another collection's idf_table; the kinds are those of components()."""
-    unseen = F.broadcast(idfs.filter("term is null").select(F.col("idf").alias("__unseen")))
+    unseen = idfs.filter("term is null").select(F.col("idf").alias("__unseen"))
     z = tf.groupBy("doc").agg(F.sum("tf").alias("z"))
-    x = tf.join(idfs.filter("term is not null"), "term", "left").crossJoin(unseen).withColumn("idf", F.coalesce("idf", "__unseen")).join(z, "doc")
+    x = with_scalar(tf.join(idfs.filter("term is not null"), "term", "left"), unseen).withColumn("idf", F.coalesce("idf", "__unseen")).join(z, "doc")
     return x.select("doc", "term", _component(kind, temperature).alias("w"), "idf")
 
 

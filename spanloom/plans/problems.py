@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import hierarchy, packed, rejects, wide
+from spanloom.plans.packed_sql import P2_FOUND
 from spanloom.tables import PLAIN_NUMBER, current_rows, current_words, read
 
 PACKED = {"feats": packed.FEATURE, "deps": packed.DEPENDENCY}
@@ -74,6 +75,7 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p4_wide, p
 _PAIR = "[A-Z][A-Za-z0-9]*(\\[[A-Za-z0-9]+\\])?=[A-Z0-9][A-Za-z0-9]*(,[A-Z0-9][A-Za-z0-9]*)*"
 
 SQL = {
+    "p2_found": P2_FOUND,
     "p4_found": """WITH inv AS (SELECT attr, val_type, val, long_name FROM feat_inventory WHERE attr IS NOT NULL),
 nk AS (SELECT DISTINCT regexp_replace(lower(attr), '[^a-z0-9]', '', 'g') AS k, attr, val_type FROM inv),
 vk AS (SELECT attr, val, regexp_replace(lower(val), '[^a-z0-9]', '', 'g') AS k FROM inv WHERE val IS NOT NULL UNION SELECT attr, val, regexp_replace(lower(long_name), '[^a-z0-9]', '', 'g') FROM inv WHERE val IS NOT NULL),

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Ratio used to decide that a side is small enough to be sent to every executor.
 BROADCAST_ROWS = 200_000
@@ -53,3 +54,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; reads no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """df with the columns of a table that has exactly one row, such as a total; an equi-join on a constant with that row broadcast."""
+    left, right = df.withColumn("__one", F.lit(1)), one_row.withColumn("__one", F.lit(1))
+    return left.join(F.broadcast(right), "__one").drop("__one")

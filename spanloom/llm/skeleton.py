@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import BROADCAST_ROWS, small
+from spanloom.session import BROADCAST_ROWS, cut, small
 
 #: Letters of other scripts (and script g) and the Latin letter that each looks like.
 LOOK_ALIKES = {
@@ -111,8 +111,10 @@ def look_alike_pairs(keys: DataFrame) -> DataFrame:
     keys: skeleton_keys(). Groups with one string, however many exact copies it has, leave first, by a map-side min and
     max; pairs are then formed between distinct strings of a group, and only those pairs are expanded to their documents,
     so exact copies never meet each other and no group is gathered in a task. Repeated rows count once; rows without a
-    doc_id can't be named and form no pair; empty tables give an empty result.
+    doc_id can't be named and form no pair; empty tables give an empty result. The digests are written once, so texts are
+    read once.
     """
+    keys = cut(keys, "looks")
     mixed = keys.groupBy("look").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).filter("a <> b").select("look")
     mixed = F.broadcast(mixed) if small(mixed, BROADCAST_ROWS) else mixed
     members = keys.filter("doc_id is not null").join(mixed, "look", "left_semi").distinct()

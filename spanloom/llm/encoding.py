@@ -70,46 +70,41 @@ def _fill_heavy(known: dict[str, list[int]]):
                         ids += got
                 ids_out.append(ids), at_out.append(at), words_out.append(missing)
             yield pa.RecordBatch.from_arrays(
-                [b.column("k"), pa.array(ids_out, pa.list_(pa.int32())), pa.array(at_out, pa.list_(pa.int32())), pa.array(words_out, pa.list_(pa.string()))], names=["k", "ids", "at", "missing"]
+                [b.column("key"), b.column("k"), pa.array(ids_out, pa.list_(pa.int32())), pa.array(at_out, pa.list_(pa.int32())), pa.array(words_out, pa.list_(pa.string()))],
+                names=["key", "k", "ids", "at", "missing"],
             )
 
     return run
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", heavy_words: int = HEAVY_WORDS) -> DataFrame:
-    """key, ids: every text by the vocabulary of the rank file at `path`, without special tokens.
+    """key, ids: every text by the vocabulary of the rank file at `path`, without special tokens; one row for each row.
 
-    Texts are split into pre-tokens in the JVM; every distinct word of the corpus is counted and encoded once (shuffled by
-    word, after a map-side count, so hot words send one row per task). The heavy_words most frequent words are broadcast
-    with their ids and put in place where the text is; the other words are exploded with their positions, joined to the
-    word table by shuffle, and put back by position. So the shuffle carries the rare words only and no hot word is
-    gathered. Equal texts are encoded once.
+    Texts are split into pre-tokens in the JVM and never shuffled. Every distinct word of the corpus is counted and encoded
+    once (shuffled by word, after a map-side count, so hot words send one row per task). The heavy_words most frequent words
+    are broadcast with their ids and put in place where the text is; the other words are exploded with their positions, once
+    for each distinct text, joined to the word table by shuffle, and put back by position. So the shuffle carries the rare
+    words only and no hot word is gathered.
 
-    Null and empty texts give the empty list. Repeated rows (same key and text) come out once; a key with several texts
-    gives one row for each; a null key is kept as null. Extra columns are left out; an empty table gives no rows.
+    Null and empty texts give the empty list. Repeated rows come out as often as they occur, whatever their key, null keys
+    included. Extra columns are left out; an empty table gives no rows.
     """
-    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    some = F.coalesce(F.col("text"), F.lit("")) != ""
-    # a text is known by 128 bits of itself and its length
-    named = given.filter(some).withColumn("k", F.struct(F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("h"), F.length("text").alias("l")))
-    one_each = named.groupBy("k").agg(F.first("text").alias("text"))
-    split = cut(one_each.select("k", F.regexp_extract_all("text", F.lit(PRE_TOKEN), F.lit(0)).alias("words")), "words")
-    table = cut(split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_encode_words(path), "word string, ids array<int>, n bigint"), "table")
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PRE_TOKEN), F.lit(0))
+    table = cut(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_encode_words(path), "word string, ids array<int>, n bigint"), "table")
     heavy = table.orderBy(F.desc("n"), "word").limit(heavy_words)
     known = {r["word"]: list(r["ids"]) for r in heavy.toLocalIterator()}
     # words as rare as the rarest heavy one are kept, so no word is missing
     rest = table.filter(F.col("n") <= (heavy.agg(F.min("n")).head()[0] or 0)) if known else table
-    partly = split.mapInArrow(_fill_heavy(known), "k struct<h: binary, l: int>, ids array<int>, at array<int>, missing array<string>")
-    partly = cut(partly, "partly")
-    holes = partly.filter(F.size("missing") > 0).select("k", F.posexplode("missing").alias("p", "word"))
+    # a text is known by 128 bits of itself and its length
+    name = F.struct(F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))).alias("h"), F.length(text).alias("l"))
+    split = docs.select(F.col(key).alias("key"), name.alias("k"), words.alias("words"))
+    partly = cut(split.mapInArrow(_fill_heavy(known), f"key {dict(split.dtypes)['key']}, k struct<h: binary, l: int>, ids array<int>, at array<int>, missing array<string>"), "partly")
+    open_ = partly.filter(F.size("missing") > 0)
+    holes = open_.groupBy("k").agg(F.first("missing").alias("missing")).select("k", F.posexplode("missing").alias("p", "word"))
     found = holes.join(rest.select("word", F.col("ids").alias("piece")), "word")
     pieces = found.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "piece"))), lambda x: x["piece"]).alias("pieces"))
-    whole = partly.filter(F.size("missing") == 0).select("k", "ids").unionByName(
-        partly.filter(F.size("missing") > 0).select("k", "ids", "at").join(pieces, "k").mapInArrow(_fill_holes, "k struct<h: binary, l: int>, ids array<int>")
-    )
-    full = named.select("key", "k").distinct().join(whole, "k").select("key", "ids")
-    empty = given.filter(~some).select("key").distinct().select("key", F.array().cast("array<int>").alias("ids"))
-    return full.unionByName(empty).withColumnRenamed("key", key)
+    filled = open_.select("key", "k", "ids", "at").join(pieces, "k").select("key", "ids", "at", "pieces").mapInArrow(_fill_holes, f"key {dict(split.dtypes)['key']}, ids array<int>")
+    return partly.filter(F.size("missing") == 0).select("key", "ids").unionByName(filled).withColumnRenamed("key", key)
 
 
 def _fill_holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +117,7 @@ def _fill_holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts += piece
                 last = a
             out.append(parts + ids[last:])
-        yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["k", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.int32()))], names=["key", "ids"])
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

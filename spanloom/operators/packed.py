@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import BROADCAST_ROWS, small
+from spanloom.session import BROADCAST_ROWS, cut, small
 
 #: The separators that are tried, as they are written in regular expressions; blanks may surround each.
 CANDIDATES = {"bar": r"\|", "semicolon": ";", "comma": ",", "slash": "/", "broken_bar": "¦", "blank": r"\s"}
@@ -144,7 +144,7 @@ def split_packed(df: DataFrame, keys: list[str], source: str, fields: dict[str,
     start is no item; repeated rows are split as often as they occur.
     """
     names = list(fields)
-    accepted = accepted_delimiters(delimiter_scores(scored if scored is not None else df, source, fields), names)
+    accepted = cut(accepted_delimiters(delimiter_scores(scored if scored is not None else df, source, fields), names), "delimiters")
     accepted = F.broadcast(accepted) if small(accepted, BROADCAST_ROWS // 10) else accepted
     base = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(source).alias("s"), *[F.col(f).alias(f"v{i}") for i, f in enumerate(names)])
     joined = base.join(accepted, F.col("s").eqNullSafe(F.col("source")), "left")

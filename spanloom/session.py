@@ -57,6 +57,5 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """df with the columns of a table that has exactly one row, such as a total; an equi-join on a constant with that row broadcast."""
-    left, right = df.withColumn("__one", F.lit(1)), one_row.withColumn("__one", F.lit(1))
-    return left.join(F.broadcast(right), "__one").drop("__one")
+    """df with the columns of a table that has exactly one row, such as a total, as scalar subqueries: no join at all."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})

@@ -210,19 +210,16 @@ def hierarchy(nodes: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     cols = [F.col(c).cast("bigint").alias(c) for c in ("tree", "node", "parent")] + [F.coalesce("is_root", F.lit(False)).alias("is_root")]
     cols += [F.col(c).cast("bigint").alias(c) if linked else F.lit(None).cast("bigint").alias(c) for c in ("left_child", "right_sib")]
     given = nodes.select(*cols).filter("tree is not null and node is not null")
-    one = given.groupBy("tree", "node").agg(F.max(F.struct("is_root", "parent", "left_child", "right_sib")).alias("m")).select("tree", "node", "m.*")
+    one_each = lambda df: df.groupBy("tree", "node").agg(F.max(F.struct("is_root", "parent", "left_child", "right_sib")).alias("m")).select("tree", "node", "m.*")
     large = given.groupBy("tree").count().filter(F.col("count") > local_nodes).select("tree")
-    large_trees = [r["tree"] for r in large.limit(100_001).collect()] if local_nodes > 0 else None
-    if large_trees is not None and len(large_trees) <= 100_000:
-        apart = F.broadcast(large)
-    else:
-        apart = large
-    part = one if large_trees == [] else one.join(apart, "tree", "left_anti")
-    batches = part.withColumn("linked", F.lit(linked)).repartition("tree").sortWithinPartitions("tree", "node")
-    out = batches.mapInArrow(_peel_batches, OUT_SCHEMA)
-    if large_trees == []:
+    n_large = large.limit(100_001).count()
+    apart = F.broadcast(large) if n_large <= 100_000 else large
+    # large trees leave before rows are spread by tree, so one shuffle serves both the latest row of a node and the peeling
+    spread = (given.join(apart, "tree", "left_anti") if n_large else given).repartition("tree")
+    out = one_each(spread).withColumn("linked", F.lit(linked)).sortWithinPartitions("tree", "node").mapInArrow(_peel_batches, OUT_SCHEMA)
+    if not n_large:
         return out
-    big = _by_joins(one.join(apart, "tree", "left_semi"), linked)
+    big = _by_joins(one_each(given.join(apart, "tree", "left_semi")), linked)
     return out.unionByName(big.select(*out.columns))
 
 

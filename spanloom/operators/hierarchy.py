@@ -72,7 +72,7 @@ def _peel(rank, node, parent, has_parent, is_root, left, has_left, right, has_ri
         touched = np.unique(up[above])
         leaves = touched[waiting[touched] == 0]
     state = np.full(n, "cycle", dtype=object)
-    path: list = [None] * n
+    way: list = [None] * n
     depth, root = np.full(n, -1), np.full(n, -1)
     text = node.astype(str).tolist()
     ups, roots = up.tolist(), is_root.tolist()
@@ -80,17 +80,20 @@ def _peel(rank, node, parent, has_parent, is_root, left, has_left, right, has_ri
     for leaves in reversed(rounds):
         for i in leaves.tolist():
             p = ups[i]
+            # a node on a cycle has no way, so one that hangs from it starts its own
+            way[i] = text[i] if p < 0 or way[p] is None else f"{way[p]}/{text[i]}"
             if p < 0:
                 if roots[i]:
-                    state[i], path[i], depth[i], root[i] = "tree", text[i], 0, i
+                    state[i], depth[i], root[i] = "tree", 0, i
                 else:
                     state[i] = "dangling"
             else:
                 state[i] = state[p]
-                if path[p] is not None:
-                    path[i], depth[i], root[i] = f"{path[p]}/{text[i]}", depth[p] + 1, root[p]
+                if root[p] >= 0:
+                    depth[i], root[i] = depth[p] + 1, root[p]
     ok = root >= 0
-    return {"state": state, "path": path, "depth": pa.array(depth, pa.int32(), mask=~ok), "root": pa.array(node[root], pa.int64(), mask=~ok), "size": pa.array(size, pa.int64(), mask=size < 0)}
+    path = [w if r else None for w, r in zip(way, ok.tolist())]
+    return {"state": state, "path": path, "way": way, "depth": pa.array(depth, pa.int32(), mask=~ok), "root": pa.array(node[root], pa.int64(), mask=~ok), "size": pa.array(size, pa.int64(), mask=size < 0)}
 
 
 def _numbers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def _numbers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), has
 
 
-def _peel_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _peel_batches(batches: Iterator[pa.RecordBatch], ways: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches are sorted by tree and node; the last tree of a batch waits for the next batch."""
     rest: list[pa.RecordBatch] = []
 
@@ -113,9 +116,10 @@ def _peel_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         left, has_left = _numbers(t["left_child"])
         right, has_right = _numbers(t["right_sib"])
         r = _peel(rank, node, parent, has_parent, is_root, left if t["linked"][0].as_py() else None, has_left, right, has_right)
+        more = [pa.array(r["way"], pa.string())] if ways else []
         return pa.RecordBatch.from_arrays(
-            [t["tree"], t["node"], pa.array(r["state"], pa.string()), pa.array(r["path"], pa.string()), r["depth"], r["root"], r["size"]],
-            names=["tree", "node", "state", "path", "depth", "root", "subtree_size"],
+            [t["tree"], t["node"], pa.array(r["state"], pa.string()), pa.array(r["path"], pa.string()), r["depth"], r["root"], r["size"], *more],
+            names=["tree", "node", "state", "path", "depth", "root", "subtree_size", *["way"] * ways],
         )
 
     for b in batches:
@@ -170,9 +174,9 @@ def _by_joins(nodes: DataFrame, linked: bool) -> DataFrame:
             .select("tree", "node", "parent", "is_root", (F.col("subtree_size") + F.coalesce("sent", F.lit(0))).alias("subtree_size")), "peel"
         )
     null = lambda t: F.lit(None).cast(t)
-    done = [left.select("tree", "node", F.lit("cycle").alias("state"), null("string").alias("path"), null("int").alias("depth"), null("bigint").alias("root"), null("bigint").alias("subtree_size"))]
+    done = [left.select("tree", "node", F.lit("cycle").alias("state"), null("string").alias("path"), null("int").alias("depth"), null("bigint").alias("root"), null("bigint").alias("subtree_size"), null("string").alias("way"))]
     for leaves in reversed(rounds):
-        above = reduce(DataFrame.unionByName, done).select("tree", F.col("node").alias("parent"), F.col("state").alias("s"), F.col("path").alias("pa"), F.col("depth").alias("d"), F.col("root").alias("r"))
+        above = reduce(DataFrame.unionByName, done).select("tree", F.col("node").alias("parent"), F.col("state").alias("s"), F.col("way").alias("w"), F.col("depth").alias("d"), F.col("root").alias("r"))
         j = leaves.join(above, ["tree", "parent"], "left")
         top = F.col("parent").isNull()
         here = F.col("node").cast("string")
@@ -180,16 +184,16 @@ def _by_joins(nodes: DataFrame, linked: bool) -> DataFrame:
             j.select(
                 "tree", "node",
                 F.when(top & F.col("is_root"), "tree").when(top, "dangling").otherwise(F.col("s")).alias("state"),
-                F.when(top & F.col("is_root"), here).when(~top, F.concat_ws("/", "pa", here)).alias("path"),
+                F.concat_ws("/", "w", here).alias("way"),
                 F.when(top & F.col("is_root"), 0).otherwise(F.col("d") + 1).alias("depth"),
                 F.when(top & F.col("is_root"), F.col("node")).otherwise(F.col("r")).alias("root"),
                 "subtree_size",
-            ).withColumn("path", F.when(F.col("state") == "tree", F.col("path"))), "placed"
+            ).withColumn("path", F.when(F.col("state") == "tree", F.col("way"))), "placed"
         ))
     return reduce(DataFrame.unionByName, done)
 
 
-def hierarchy(nodes: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
+def hierarchy(nodes: DataFrame, local_nodes: int = LOCAL_NODES, ways: bool = False) -> DataFrame:
     """Path, depth, root and subtree size of each node: tree, node, state, path, depth, root, subtree_size.
 
     nodes: tree, node, parent (bigint), is_root (boolean), and perhaps left_child and right_sib, from which the parent of a
@@ -199,7 +203,8 @@ def hierarchy(nodes: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     Leaves are peeled round by round and send their subtree sizes to their parents; what can't be peeled are cycles; then
     the rounds are gone through backwards and each node takes path, depth and root from its parent. `state` is `tree`,
     `cycle` (the way up runs into a cycle) or `dangling` (it ends at a node that is neither a root nor has a parent in the
-    tree); path, depth and root are null unless it is `tree`, subtree_size is null on a cycle. Root depth is 0.
+    tree); path, depth and root are null unless it is `tree`, subtree_size is null on a cycle. Root depth is 0. With `ways` a
+    last column `way` holds the path from the topmost node above that isn't on a cycle, whatever the state; it is null on a cycle.
 
     Trees of up to local_nodes rows are spread by tree and peeled in Arrow batches, many at once; trees above that are
     peeled by joins over the whole cluster, with the same results, so no task holds more than local_nodes rows of a tree.
@@ -216,7 +221,7 @@ def hierarchy(nodes: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     apart = F.broadcast(large) if n_large <= 100_000 else large
     # large trees leave before rows are spread by tree, so one shuffle serves both the latest row of a node and the peeling
     spread = (given.join(apart, "tree", "left_anti") if n_large else given).repartition("tree")
-    out = one_each(spread).withColumn("linked", F.lit(linked)).sortWithinPartitions("tree", "node").mapInArrow(_peel_batches, OUT_SCHEMA)
+    out = one_each(spread).withColumn("linked", F.lit(linked)).sortWithinPartitions("tree", "node").mapInArrow(lambda batches: _peel_batches(batches, ways), OUT_SCHEMA + ", way string" * ways)
     if not n_large:
         return out
     big = _by_joins(one_each(given.join(apart, "tree", "left_semi")), linked)
@@ -229,6 +234,12 @@ def with_verdict(h: DataFrame) -> DataFrame:
 
 
 def descendant_rows(h: DataFrame) -> DataFrame:
-    """tree, node, descendant, distance: every descendant of every node that has a path; one row each, so no list grows with a tree."""
-    up = h.filter("path is not null").select("tree", F.col("node").alias("descendant"), "depth", F.posexplode(F.split("path", "/")).alias("p", "n"))
-    return up.filter(F.col("p") < F.col("depth")).select("tree", F.col("n").cast("bigint").alias("node"), "descendant", (F.col("depth") - F.col("p")).alias("distance"))
+    """tree, node, descendant, distance: every descendant of every node; one row each, so no list grows with a tree.
+
+    From hierarchy(ways=True) each node with a subtree_size has its subtree_size - 1 descendants, those that dangle or hang
+    from a cycle too; nodes on a cycle have none. From hierarchy() alone, only nodes with a path are covered.
+    """
+    way = "way" if "way" in h.columns else "path"
+    up = h.filter(F.col(way).isNotNull()).select("tree", F.col("node").alias("descendant"), F.split(way, "/").alias("ns"))
+    up = up.select("tree", "descendant", (F.size("ns") - 1).alias("last"), F.posexplode("ns").alias("p", "n"))
+    return up.filter(F.col("p") < F.col("last")).select("tree", F.col("n").cast("bigint").alias("node"), "descendant", (F.col("last") - F.col("p")).alias("distance"))

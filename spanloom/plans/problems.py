@@ -57,9 +57,11 @@ def word_nodes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("sent_id").alias("tree"), F.col("id").try_cast("bigint").alias("node"), head.alias("parent"), (head == 0).alias("is_root"))
 
 
+TREES = (("constituents", constituent_nodes), ("conllu", word_nodes))
+
+
 def p6_hierarchies(spark: SparkSession, d: str) -> DataFrame:
-    trees = [("constituents", constituent_nodes), ("conllu", word_nodes)]
-    parts = [hierarchy.with_verdict(hierarchy.hierarchy(f(spark, d))).withColumn("source", F.lit(name)) for name, f in trees]
+    parts = [hierarchy.with_verdict(hierarchy.hierarchy(f(spark, d))).withColumn("source", F.lit(name)) for name, f in TREES]
     return parts[0].unionByName(parts[1])
 
 
@@ -68,7 +70,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendant_rows(hierarchy.hierarchy(constituent_nodes(spark, d)))
+    parts = [hierarchy.descendant_rows(hierarchy.hierarchy(f(spark, d), ways=True)).withColumn("source", F.lit(name)) for name, f in TREES]
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p4_wide, p4_failures, p5_found, p5_valid, p6_found, p6_hierarchies, p6_descendants)}

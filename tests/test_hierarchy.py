@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import hierarchy as h
 
@@ -124,6 +125,23 @@ def test_descendants(spark):
     assert got == {(1, 2, 1), (1, 3, 2), (1, 4, 1), (2, 3, 1)}
 
 
+def test_descendants_off_the_trees(spark):
+    # below a missing parent (2 -> 3 -> 4) and below a cycle (5 <-> 6, 7 -> 8)
+    rows = [(1, 1, None, True), (1, 2, 99, False), (1, 3, 2, False), (1, 4, 3, False), (1, 5, 6, False), (1, 6, 5, False), (1, 7, 6, False), (1, 8, 7, False)]
+    df = spark.createDataFrame(rows, "tree bigint, node bigint, parent bigint, is_root boolean")
+    for most in (h.LOCAL_NODES, 3):
+        got = {(r.node, r.descendant, r.distance) for r in h.descendant_rows(h.hierarchy(df, local_nodes=most, ways=True)).collect()}
+        assert got == {(2, 3, 1), (2, 4, 2), (3, 4, 1), (7, 8, 1)}
+
+
+def test_descendants_of_both_sources(spark, data):
+    from spanloom.plans import problems
+
+    n = {(r.source, r.tree, r.node): r.n for r in problems.p6_descendants(spark, data).groupBy("source", "tree", "node").agg(F.count("*").alias("n")).collect()}
+    want = {(r.source, r.tree, r.node): r.subtree_size - 1 for r in problems.p6_hierarchies(spark, data).collect() if (r.subtree_size or 0) > 1}
+    assert n == want and {s for s, _, _ in n} == {"constituents", "conllu"}
+
+
 def test_owner_pointers_double():
     n = 1000
     left, right = np.full(n, -1), np.full(n, -1)

@@ -159,14 +159,23 @@ def parameter_average(spark: SparkSession, d: str) -> DataFrame:
     return s.select("label", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
+def _labelled_nodes(spark: SparkSession, d: str) -> DataFrame:
+    rows = current_rows(read(spark, d, "constituents"), ["parse_id", "cons"], ["loaded_at"], ["parent", "lhs", "first_token"])
+    return rows.select(F.col("parse_id").alias("tree"), F.col("cons").cast("bigint").alias("node"), F.when(F.col("parent") >= 0, F.col("parent")).cast("bigint").alias("parent"), F.coalesce("lhs", F.lit("")).alias("label"), F.struct(F.col("first_token"), F.col("cons")).alias("ord"))
+
+
 def head_percolation(spark: SparkSession, d: str) -> DataFrame:
     """Which child each inner constituent takes its head from (rules are stateful: no SQL; held against goldens in the tests)."""
-    rows = current_rows(read(spark, d, "constituents"), ["parse_id", "cons"], ["loaded_at"], ["parent", "lhs", "first_token"])
-    nodes = rows.select(F.col("parse_id").alias("tree"), F.col("cons").cast("bigint").alias("node"), F.when(F.col("parent") >= 0, F.col("parent")).cast("bigint").alias("parent"), F.coalesce("lhs", F.lit("")).alias("label"), F.struct(F.col("first_token"), F.col("cons")).alias("ord"))
-    return trees.head_children(nodes)
+    return trees.head_children(_labelled_nodes(spark, d))
+
+
+def head_percolation_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the semantic rule table."""
+    return trees.head_children(_labelled_nodes(spark, d), trees.SEMANTIC_HEAD_RULES)
 
 
 QUERIES["head_percolation"] = head_percolation
+QUERIES["head_percolation_semantic"] = head_percolation_semantic
 
 
 def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -247,6 +247,22 @@ def test_head_rules(label, kids, want):
     assert trees.head_child(label, kids, trees.rule_index()) == want
 
 
+@pytest.mark.parametrize("label,kids,want,semantic", [
+    ("PRN", ["S", "NP", ","], 1, 0), ("NX", ["NN", "CC"], 0, 0), ("NML", ["JJ", "NNP", "POS"], 2, 1), ("TOP", ["S", "."], 0, 0), ("QP", ["CD", "CD", "JJR"], 0, 1), ("ADVP", ["NN", "CC"], 1, 1), ("VP", ["NNP", "PRN"], 0, 0),
+    ("ADJP", ["$", "X"], 0, 0), ("X", ["NP", "PP", "FW"], 0, 0), ("SBARQ", ["WHNP", "SQ", "."], 1, 1), ("UCP", ["A", "B"], 1, 0), ("NP", ["S", "CC", "SBAR"], 2, 0), ("PP", ["RRC", ","], 1, 0), ("XS", ["IN", "JJR"], 0, 0), ("EMBED", ["INTJ", "S"], 1, 0),
+])
+def test_whole_rule_tables(label, kids, want, semantic):
+    assert trees.head_child(label, kids, trees.rule_index()) == want
+    assert trees.head_child(label, kids, trees.rule_index(trees.SEMANTIC_HEAD_RULES)) == semantic
+
+
+def test_copied_parents_take_no_extras():
+    basic, semantic = trees.rule_index(), trees.rule_index(trees.SEMANTIC_HEAD_RULES)
+    assert basic["NX"] == basic["NML"] == basic["NP"] and basic["TOP"] == basic["ROOT"]
+    assert semantic["NX"] == semantic["NML"] == semantic["NP"][:-1] and semantic["TOP"] == [*semantic["ROOT"], ("right_eager", ("FRAG",))]
+    assert len(basic) == 37 and set(semantic) - set(basic) == {"EMBED"}
+
+
 def test_rule_directions():
     kids = ["A", "B", "C", "B"]
     assert trees.match_rule("left_eager", ("C", "B"), kids) == 1 and trees.match_rule("left_patient", ("C", "B"), kids) == 2

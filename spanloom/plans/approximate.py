@@ -88,4 +88,6 @@ def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add()
 def stream_topk(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.drain(stateful.top_counts(_event_stream(spark, d), "user_id", 20), "top", "update", _where(spark))
+    """item, n: the 20 users with most events, exact; state is one number a user."""
+    rows = stateful.drain(stateful.running_counts(_event_stream(spark, d), "user_id"), "top", "update", _where(spark))
+    return stateful.top_of_counts(rows, "user_id", 20)

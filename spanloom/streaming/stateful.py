@@ -48,25 +48,47 @@ def exponential_averages(stream: DataFrame, key: str, value: str, order: str, de
     return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, n bigint, ema double", "n bigint, ema double", "update", GroupStateTimeout.NoTimeout)
 
 
+def top_of_counts(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """item, n: the k most frequent keys, exact, from the rows that running_counts gave in update mode; equals by item."""
+    # counts only grow, so the largest of a key is its last
+    last = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("item")).agg(F.max("n").alias("n"))
+    return last.orderBy(F.col("n").desc(), "item").limit(k)
+
+
 def top_counts(stream: DataFrame, key: str, k: int, shards: int = 8) -> DataFrame:
-    """shard, items: the k most frequent keys so far of each shard of the keys, with bounded state (space-saving; X2, X5, A23, A24)."""
+    """shard, item, n, error, seen: about the k most frequent keys so far of each shard, with bounded state (space-saving; X2, X5, A23, A24).
+
+    A shard holds 10 k keys; beyond them a new key takes over the smallest count, which is its `error`: the true count lies
+    between n - error and n. `seen` counts the rows of the shard so far; see last_lists. For exact lists take top_of_counts.
+    """
     sharded = stream.select(F.col(key).cast("string").alias("item"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"))
 
     def fold(s, batches: Iterator[pd.DataFrame], state: GroupState):
-        items, counts = state.get if state.exists else ([], [])
-        held = dict(zip(items, counts))
+        items, counts, errors, seen = state.get if state.exists else ([], [], [], 0)
+        held, error = dict(zip(items, counts)), dict(zip(items, errors))
         for b in batches:
+            seen += len(b)
             for item, n in b["item"].value_counts().sort_index().items():
                 if item in held or len(held) < 10 * k:
                     held[item] = held.get(item, 0) + int(n)
+                    error.setdefault(item, 0)
                 else:
                     low = min(held, key=lambda i: (held[i], i))
-                    held[item] = held.pop(low) + int(n)
+                    error.pop(low)
+                    error[item] = held.pop(low)
+                    held[item] = error[item] + int(n)
         best = heapq.nsmallest(k, held.items(), key=lambda x: (-x[1], x[0]))
-        state.update((list(held), list(held.values())))
-        yield pd.DataFrame({"shard": [s[0]] * len(best), "item": [i for i, _ in best], "n": [n for _, n in best]})
+        state.update((list(held), list(held.values()), [error[i] for i in held], seen))
+        yield pd.DataFrame({"shard": [s[0]] * len(best), "item": [i for i, _ in best], "n": [n for _, n in best], "error": [error[i] for i, _ in best], "seen": [seen] * len(best)})
+
+    return sharded.groupBy("shard").applyInPandasWithState(
+        fold, "shard int, item string, n bigint, error bigint, seen bigint", "items array<string>, counts array<bigint>, errors array<bigint>, seen bigint", "update", GroupStateTimeout.NoTimeout
+    )
+
 
-    return sharded.groupBy("shard").applyInPandasWithState(fold, "shard int, item string, n bigint", "items array<string>, counts array<bigint>", "update", GroupStateTimeout.NoTimeout)
+def last_lists(rows: DataFrame) -> DataFrame:
+    """Of the rows that top_counts gave over many batches, each shard's last list."""
+    return rows.join(rows.groupBy("shard").agg(F.max("seen").alias("seen")), ["shard", "seen"], "left_semi")
 
 
 def snapshots(result: DataFrame, path: str, checkpoint: str, seconds: int = 600, mode: str = "complete") -> StreamingQuery:

@@ -48,6 +48,28 @@ def test_top_counts(events):
     assert best == {str(r.k): r["count"] for r in df.groupBy("k").count().collect()}
 
 
+def test_many_users_rank_exactly(spark, tmp_path):
+    # more users than any bounded list holds, in several files, so in several batches
+    from spanloom.plans import approximate
+
+    df = spark.range(12_000).select((F.col("id") % F.when(F.col("id") % 3 == 0, 3_000).otherwise(50 + F.col("id") % 2_000)).alias("user_id"), F.col("id"))
+    df.repartition(3, "id").write.parquet(f"{tmp_path}/events.parquet")
+    rows = [(r.item, r.n) for r in approximate.stream_topk(spark, str(tmp_path)).collect()]
+    want = sorted(((str(r.user_id), r["count"]) for r in df.groupBy("user_id").count().collect()), key=lambda x: (-x[1], x[0]))
+    assert rows == want[:20]
+
+
+def test_top_counts_give_their_error(spark, tmp_path):
+    path = f"{tmp_path}/in"
+    df = spark.range(3_000).select((F.col("id") % (1 + F.col("id") % 200)).alias("k"), "id")
+    df.repartition(3, "id").write.parquet(path)
+    s = stateful.read_folder(spark, path, df.schema)
+    got = stateful.last_lists(stateful.drain(stateful.top_counts(s, "k", 2, shards=2), "t_err", "update", f"{tmp_path}/t")).collect()
+    true = {str(r.k): r["count"] for r in df.groupBy("k").count().collect()}
+    assert len(got) == 4 and sum(r.seen for r in {r.shard: r for r in got}.values()) == 3_000
+    assert all(r.n - r.error <= true[r["item"]] <= r.n for r in got) and any(r.error for r in got)
+
+
 def test_snapshots(spark, events):
     _, s, tmp = events
     q = stateful.snapshots(stateful.running_counts(s, "k"), f"{tmp}/snap", f"{tmp}/snapc", seconds=1)

@@ -102,3 +102,82 @@ def cosine_maxexp(left: DataFrame, right: DataFrame, temperature: float = 1.0) -
     per = both.groupBy("doc_l", "doc_r", "term").agg(F.sum(F.when(F.col("s") == 0, F.col("v"))).alias("a"), F.sum(F.when(F.col("s") == 1, F.col("v"))).alias("b"))
     sq = lambda c: F.sqrt(F.sum(F.coalesce(F.col(c) * F.col(c), F.lit(0.0))))
     return per.groupBy("doc_l", "doc_r").agg((F.sum(F.coalesce(F.col("a") * F.col("b"), F.lit(0.0))) / (sq("a") * sq("b"))).alias("sim"))
+
+
+def cosine_against(left: DataFrame, right: DataFrame, maxexp: bool = False, temperature: float = 1.0, block: int = 1_000) -> DataFrame:
+    """doc_l, doc_r, sim as cosine() or, with maxexp, cosine_maxexp() give them, for a left side of any size.
+
+    The right side is a stated query set: its vectors are sent to all tasks in blocks of about `block` documents. A document
+    of the left side meets a whole block in one matrix product, so no row per shared term is made or shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    types = [dict(df.dtypes)["doc"] for df in (left, right)]
+    schema = f"doc_l {types[0]}, doc_r {types[1]}, sim double"
+    docs = left.groupBy("doc").agg(F.collect_list(F.struct("term", "w", "idf")).alias("terms"))
+    right = right.select("doc", "term", "w", "idf")
+    parts = None
+    blocks = max(1, -(-right.select("doc").distinct().count() // block))
+    for b in range(blocks):
+        held = right.filter(F.pmod(F.xxhash64("doc"), F.lit(blocks)) == b).collect()
+        if not held:
+            continue
+        ids, vocabulary = sorted({r.doc for r in held}), sorted({r.term for r in held})
+        at = [{x: i for i, x in enumerate(xs)} for xs in (ids, vocabulary)]
+        # what travels is as long as the block's vectors; the matrices are made in the task
+        cells = tuple(np.array(x) for x in ([at[0][r.doc] for r in held], [at[1][r.term] for r in held], [r.w for r in held], [r.idf for r in held]))
+
+        def run(batches, ids=ids, vocabulary=vocabulary, cells=cells):
+            names, words = pa.array(ids), pa.array(vocabulary)
+            weight, there = (np.zeros((len(ids), len(vocabulary)), t) for t in (np.float64, np.float32))
+            weight[cells[:2]], there[cells[:2]] = cells[2], 1
+            idfs = np.zeros(weight.shape if maxexp else (0, 0))
+            if maxexp:
+                idfs[cells[:2]] = cells[3]
+
+            def scaled(w, idf, m):
+                return w * np.sqrt(np.exp(idf / m * temperature)) if m > 0 else w * 1.0
+
+            def sims(n, rows, cols, hit, w, r):
+                dense = np.zeros((n, len(vocabulary)))
+                dense[rows[hit], cols[hit]] = w[hit]
+                norms = np.sqrt(np.bincount(rows, w * w, minlength=n))[:, None] * np.sqrt((r * r).sum(axis=1))[None, :]
+                return np.divide(dense @ r.T, norms, out=np.zeros(norms.shape), where=norms > 0), norms > 0
+
+            for batch in batches:
+                for start in range(0, batch.num_rows, 128):
+                    part = batch.slice(start, 128)
+                    n, lists = part.num_rows, part.column(1)
+                    rows = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                    term, w, idf = lists.flatten().flatten()
+                    w, idf = w.to_numpy(zero_copy_only=False), idf.to_numpy(zero_copy_only=False)
+                    cols = pc.index_in(term, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+                    hit = cols >= 0
+                    shared = np.zeros((n, len(vocabulary)), np.float32)
+                    shared[rows[hit], cols[hit]] = 1
+                    ok = shared @ there.T > 0
+                    if maxexp:
+                        top = np.zeros(n)
+                        np.maximum.at(top, rows, idf)
+                        largest = np.maximum.outer(top, idfs.max(axis=1))
+                        sim = np.zeros(ok.shape)
+                        for m in np.unique(largest[ok]):
+                            # only the documents and items that have a pair with this maximum
+                            mine = largest == m
+                            keep, items = mine.any(axis=1), np.flatnonzero(mine.any(axis=0))
+                            sel = keep[rows]
+                            new = np.cumsum(keep) - 1
+                            got, _ = sims(int(keep.sum()), new[rows[sel]], cols[sel], hit[sel], scaled(w[sel], idf[sel], m), scaled(weight[items], idfs[items], m))
+                            box = np.ix_(keep, items)
+                            sim[box] = np.where(mine[box], got, sim[box])
+                    else:
+                        sim, positive = sims(n, rows, cols, hit, w, weight)
+                        ok &= positive
+                    i, j = np.nonzero(ok)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), names.take(pa.array(j)), pa.array(sim[i, j])], names=["doc_l", "doc_r", "sim"])
+
+        part = docs.mapInArrow(run, schema)
+        parts = part if parts is None else parts.unionByName(part)
+    return left.sparkSession.createDataFrame([], schema) if parts is None else parts

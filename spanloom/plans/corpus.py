@@ -75,7 +75,7 @@ def average_idf_by_doc(spark: SparkSession, d: str) -> DataFrame:
     return weights.average_idf(_tf(spark, d)).withColumn("avg_idf", F.round("avg_idf", 6))
 
 
-# the stated query set: every document whose id is divisible by 100, against the evaluation items
+# a sample small enough for SQL: every document whose id is divisible by 100, against the evaluation items; *_all takes all documents
 _PAIR = rf"""b AS (SELECT item_id AS doc, unnest(regexp_split_to_array(text, '{_WS}')) AS term FROM benchmark),
 terms AS (SELECT 'd' AS side, doc_id AS doc, term FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '{_WS}')) AS term FROM documents WHERE doc_id % 100 = 0) WHERE term <> '' UNION ALL SELECT 'b', doc, term FROM b WHERE term <> ''),
 dt AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(text, '{_WS}')) AS term FROM documents), alltf AS (SELECT doc, term, count(*) AS tf FROM dt WHERE term <> '' GROUP BY 1, 2),
@@ -117,6 +117,29 @@ def pair_cosine_maxexp(spark: SparkSession, d: str) -> DataFrame:
     return weights.cosine_maxexp(*_pair_sides(spark, d, "maxexp")).withColumn("sim", F.round("sim", 6))
 
 
+# all documents against the evaluation items; in SQL that takes one row per shared term of every pair, so there is none
+def _all_sides(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    tf = _tf(spark, d)
+    table = weights.idf_table(tf)
+    right = weights.term_frequencies(weights.whitespace_terms(read(spark, d, "benchmark"), "item_id"))
+    return weights.weighed(tf, table, kind), weights.weighed(right, table, kind)
+
+
+@C.add()
+def pair_cosine_tfidf_all(spark: SparkSession, d: str) -> DataFrame:
+    return weights.cosine_against(*_all_sides(spark, d, "plain")).withColumn("sim", F.round("sim", 6))
+
+
+@C.add()
+def pair_cosine_exp_all(spark: SparkSession, d: str) -> DataFrame:
+    return weights.cosine_against(*_all_sides(spark, d, "exp")).withColumn("sim", F.round("sim", 6))
+
+
+@C.add()
+def pair_cosine_maxexp_all(spark: SparkSession, d: str) -> DataFrame:
+    return weights.cosine_against(*_all_sides(spark, d, "maxexp"), maxexp=True).withColumn("sim", F.round("sim", 6))
+
+
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return features.token_numbers(read(spark, d, "documents"))
 

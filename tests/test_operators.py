@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import counts, features, graphs, joins, learning, sampling, sketches, stats, topk, trees, vectors
+from spanloom.operators import counts, features, graphs, joins, learning, sampling, sketches, stats, topk, trees, vectors, weights
 
 
 def test_h_index(spark):
@@ -307,6 +307,30 @@ def test_nearest_in_blocks(spark, monkeypatch):
         assert [r.neighbour for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [j for _, j in want]
 
 
+@pytest.mark.parametrize("kind", ["plain", "exp", "maxexp"])
+def test_cosine_against_equals_joins(spark, kind):
+    rnd = random.Random(5)
+    side = lambda n, words: spark.createDataFrame([(i, w) for i in range(n) for w in rnd.choices(words, k=rnd.randint(1, 9))], "doc bigint, term string")
+    left = weights.term_frequencies(side(300, "abcdefghij"))
+    right = weights.term_frequencies(side(12, "efghijklmn"))
+    table = weights.idf_table(left)
+    a, b = weights.weighed(left, table, kind).cache(), weights.weighed(right, table, kind).cache()
+    want = {(r.doc_l, r.doc_r): r.sim for r in (weights.cosine_maxexp if kind == "maxexp" else weights.cosine)(a, b).collect()}
+    got = {(r.doc_l, r.doc_r): r.sim for r in weights.cosine_against(a, b, kind == "maxexp", block=5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+@pytest.mark.parametrize("kind,query", [("plain", "tfidf"), ("exp", "exp"), ("maxexp", "maxexp")])
+def test_all_documents_are_compared(spark, data, kind, query):
+    from spanloom.plans import corpus
+
+    got = {(r.doc_l, r.doc_r): r.sim for r in corpus.QUERIES[f"pair_cosine_{query}_all"](spark, data).collect()}
+    pairs = weights.cosine_maxexp if kind == "maxexp" else weights.cosine
+    want = {(r.doc_l, r.doc_r): r.sim for r in pairs(*corpus._all_sides(spark, data, kind)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 2e-6 for p in want)
+    assert any(doc % 100 for doc, _ in got)
+
+
 def test_perceptron_learns(spark):
     rnd = random.Random(11)
 

@@ -91,9 +91,9 @@ def nearest(queries: DataFrame, base: DataFrame, vector: str, query_id: str, bas
                 s = q @ v.T
                 m = min(k + 1, s.shape[1])
                 keep = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                # ties with the last one kept are kept too
+                # the rank is by the score rounded to 6 decimals, so all that may round like the last one kept are kept too
                 cut_at = np.take_along_axis(s, keep, axis=1).min(axis=1, keepdims=True)
-                rows, cols = np.nonzero(s >= cut_at - 1e-12)
+                rows, cols = np.nonzero(s >= cut_at - 2e-6)
                 base_ids = batch.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[rows]), pa.array(base_ids[cols]), pa.array(s[rows, cols])], names=["query", "neighbour", "sim"])
 

@@ -307,6 +307,14 @@ def test_nearest_in_blocks(spark, monkeypatch):
         assert [r.neighbour for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [j for _, j in want]
 
 
+def test_nearest_among_near_copies(spark):
+    # all round to one score, the larger ids by a hair the nearer ones: the smaller ids must come out
+    rows = [(0, [1.0, 0.0])] + [(i, [1.0, 1e-4 - i * 1e-7]) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").coalesce(1)
+    got = vectors.nearest(df.filter("id = 0"), df, "v", "id", "id", 3).collect()
+    assert [(r.neighbour, r.sim) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, 1.0), (3, 1.0)]
+
+
 @pytest.mark.parametrize("kind", ["plain", "exp", "maxexp"])
 def test_cosine_against_equals_joins(spark, kind):
     rnd = random.Random(5)

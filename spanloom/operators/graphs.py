@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,24 +42,28 @@ def induced(edges: DataFrame, first: int, last: int) -> DataFrame:
     return edges.filter(inside).withColumn("parent", F.col("parent") - first).withColumn("child", F.col("child") - first)
 
 
-def distances(edges: DataFrame, sources: DataFrame, bidirectional: bool = False, max_hops: int = 64) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, bidirectional: bool = False, max_hops: int | None = None) -> DataFrame:
     """source, node, hops, via: breadth-first distances from stated sources (G5, G10), one join a level.
 
     Each level is written, so it is neither recomputed nor lost; nodes reached before leave by anti-join. `via` is the node
-    before on a shortest path, the smallest of several. Nodes that aren't reached within max_hops are left out.
+    before on a shortest path, the smallest of several. Goes on until no new node is reached; with max_hops, nodes farther
+    away are left out. Nodes may be of any type.
     """
     step = edges.select(F.col("parent").alias("a"), F.col("child").alias("b"))
     step = (step.unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))) if bidirectional else step).distinct()
-    front = sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("via"))
+    step, kind = cut(step, "step"), dict(step.dtypes)["a"]
+    front = sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("via"))
     seen = cut(front, "seen")
     front = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         new = front.select("source", F.col("node").alias("a")).join(step, "a").groupBy("source", F.col("b").alias("node")).agg(F.min("a").alias("via"))
         new = new.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        front = cut(new.select("source", "node", F.lit(hop).alias("hops"), F.col("via").cast("bigint").alias("via")), "front")
+        front = cut(new.select("source", "node", F.lit(hop).alias("hops"), "via"), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % 16 == 0:  # so the plan doesn't grow with the distance
+            seen = cut(seen, "seen")
     return seen
 
 

@@ -186,6 +186,20 @@ def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["subtree_sizes"] = subtree_sizes
 
 
+def shortest_path_constituents(spark: SparkSession, d: str) -> DataFrame:
+    """Distances from every stored root of constituents along stored parents, nodes written tree:node; held against depths in the tests."""
+    from spanloom.operators import graphs
+
+    name = lambda c: F.concat_ws(":", "tree", c)
+    n = constituent_nodes(spark, d)
+    edges = n.filter("parent is not null and tree is not null and node is not null").select(name("parent").alias("parent"), name("node").alias("child"))
+    sources = n.filter("is_root and tree is not null and node is not null").select(name("node").alias("source")).distinct()
+    return graphs.distances(edges, sources).select("source", "node", "hops")
+
+
+QUERIES["shortest_path_constituents"] = shortest_path_constituents
+
+
 @C.add(f"""WITH RECURSIVE {_CUR}, n AS (SELECT sent_id, id::BIGINT AS node, nullif(TRY_CAST(head AS BIGINT), 0) AS head FROM cur), k AS (SELECT sent_id, head AS p, min(node) AS f, max(node) AS l FROM n WHERE head IS NOT NULL GROUP BY 1, 2),
 c AS (SELECT sent_id, node, node AS x, 0 AS hop FROM n UNION ALL SELECT c.sent_id, c.node, k.f, hop + 1 FROM c JOIN k ON k.sent_id = c.sent_id AND k.p = c.x WHERE hop < 200),
 ok AS (SELECT sent_id, node FROM c GROUP BY 1, 2 HAVING max(hop) < 100),

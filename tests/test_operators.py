@@ -235,6 +235,21 @@ def test_distances(spark):
     assert {(r.source, r.node): r.hops for r in got.collect()} == want
 
 
+def test_distances_have_no_bound(spark):
+    chain = spark.range(70).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    got = graphs.distances(chain, spark.range(1).withColumnRenamed("id", "source")).collect()
+    assert {r.node: r.hops for r in got} == {i: i for i in range(71)}
+
+
+def test_constituent_distances_are_depths(spark, data):
+    from spanloom.operators import hierarchy
+    from spanloom.plans import annotations, problems
+
+    got = {r.node: r.hops for r in annotations.shortest_path_constituents(spark, data).collect()}
+    stored = problems.constituent_nodes(spark, data).drop("left_child", "right_sib")
+    assert got == {f"{r.tree}:{r.node}": r.depth for r in hierarchy.hierarchy(stored).filter("state = 'tree'").collect()}
+
+
 def test_runs(spark):
     df = spark.createDataFrame([(1, i, i in (1, 2, 5)) for i in range(7)], "s int, i int, f boolean")
     assert sorted((r.first, r.last) for r in graphs.runs(df, ["s"], "i", "f").collect()) == [(1, 2), (5, 5)]

@@ -29,8 +29,8 @@ def whole_number(c: Column) -> Column:
 
 
 def flag_value(c: Column) -> Column:
-    """'true' or 'false' from the usual words, letters, 1 and 0; null for anything else."""
-    t = F.lower(F.regexp_replace(c, r"^[\s\p{Punct}]+|[\s\p{Punct}]+$", ""))
+    """'true' or 'false' from the usual words, letters, 1 and 0; null for anything else, signed numbers too."""
+    t = F.lower(F.regexp_replace(c, r"""^[\s"'(\[]+|[\s"')\].!]+$""", ""))
     return F.when(t.isin(*TRUE_WORDS), F.lit("true")).when(t.isin(*FALSE_WORDS), F.lit("false"))
 
 
@@ -38,24 +38,28 @@ def resolve_pairs(rows: DataFrame, inventory: DataFrame, attr: str = "attr", val
     """rows with `attr_known` (the inventory's spelling, null if unknown) and `val_read` (the value as the inventory spells it, null if unreadable).
 
     inventory: attr, val_type (category, whole, flag), val, long_name. It is one row per attribute after grouping, so it
-    is broadcast once its size is checked. Columns of rows that are named like the new ones are replaced.
+    is broadcast once its size is checked. A whole number is read from its digits or from a long name, never from the
+    digits that are left when sign, point or words around them are dropped: -2, 4.5, 1.2 and (2) are none. Columns of rows
+    that are named like the new ones are replaced.
     """
     rows = rows.drop("attr_known", "val_read")
     inv = inventory.filter("attr is not null").withColumn("__vk", name_key(F.col("val"))).withColumn("__lk", name_key(F.col("long_name")))
     pairs = F.collect_list(F.when(F.col("val").isNotNull(), F.array(F.struct(F.col("__vk").alias("k"), F.col("val").alias("v")), F.struct(F.col("__lk").alias("k"), F.col("val").alias("v")))))
     listed = F.filter(F.flatten(pairs), lambda x: x["k"].isNotNull() & (x["k"] != ""))
     known = inv.groupBy(name_key(F.col("attr")).alias("__key")).agg(
-        F.min("attr").alias("attr_known"), F.min("val_type").alias("__type"), listed.alias("__pairs"), F.collect_set("val").alias("__vals")
+        F.min("attr").alias("attr_known"), F.min("val_type").alias("__type"), listed.alias("__pairs"), F.collect_set("val").alias("__vals"),
+        F.collect_set(F.when(F.col("val").isNotNull() & (F.col("__lk") != ""), F.struct(F.col("__lk").alias("k"), F.col("val").alias("v")))).alias("__longs"),
     )
     known = F.broadcast(known) if small(known, BROADCAST_ROWS) else known
     joined = rows.withColumn("__key", name_key(F.col(attr))).join(known, "__key", "left")
     v = F.col(val)
     key = name_key(v)
     by_name = F.get(F.filter("__pairs", lambda p: p["k"] == key), F.lit(0))["v"]
+    by_long = F.get(F.array_sort(F.filter("__longs", lambda p: (p["k"] == key) & key.rlike(r"\p{L}"))), F.lit(0))["v"]
     number = whole_number(v)
-    as_whole = F.when(F.size("__vals") == 0, number).when(F.array_contains("__vals", number), number).otherwise(F.when(number.isNull(), by_name))
+    as_whole = F.when(F.size("__vals") == 0, number).when(F.array_contains("__vals", number), number).otherwise(by_long)
     read = F.when(F.col("__type") == "category", by_name).when(F.col("__type") == "whole", as_whole).when(F.col("__type") == "flag", flag_value(v))
-    return joined.withColumn("val_read", read).drop("__key", "__type", "__pairs", "__vals")
+    return joined.withColumn("val_read", read).drop("__key", "__type", "__pairs", "__vals", "__longs")
 
 
 def attribute_columns(inventory: DataFrame) -> list[tuple[str, str, str]]:
@@ -82,6 +86,7 @@ def pivot_typed(rows: DataFrame, inventory: DataFrame, entity: str, attr: str, v
         F.max(F.when(F.col("val_read").isNotNull(), F.struct(*when, F.col("val_read").alias("v")))).alias("got"),
         F.max(F.when(F.col("val_read").isNull() & F.col("val").isNotNull(), F.struct(*when, F.col("val").alias("v")))).alias("bad"),
     )
+    one = one.filter("got is not null or bad is not null")
     cells = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("got").isNotNull(), F.struct(F.col("attr_known").alias("key"), F.col("got.v").alias("value"))))))
     unread = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("got").isNull() & F.col("bad").isNotNull(), F.struct(F.col("attr_known").alias("key"), F.col("bad.v").alias("value"))))))
     maps = one.groupBy("__e").agg(cells.alias("cells"), unread.alias("unread"))

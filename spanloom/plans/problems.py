@@ -22,12 +22,19 @@ def p2_delimiters(spark: SparkSession, d: str) -> DataFrame:
     return packed.delimiter_scores(read(spark, d, "conllu"), "treebank", PACKED)
 
 
-def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+def _wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.pivot_typed(read(spark, d, "conllu_feats"), read(spark, d, "feat_inventory"), "word_id", "attr", "val", ["loaded_at", "row_no"])
 
 
+def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One typed column per attribute; whole numbers of any length as text, the unread values as `attr=val` joined by semicolons."""
+    w = _wide(spark, d)
+    unread = F.array_join(F.transform(F.map_entries("unread"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return w.withColumns({"unread": unread, "numvalue": F.col("cells")["NumValue"], "person": F.col("cells")["Person"]}).drop("cells")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return wide.cells_of(p4_wide(spark, d), "word_id")
+    return wide.cells_of(_wide(spark, d), "word_id")
 
 
 def p4_failures(spark: SparkSession, d: str) -> DataFrame:
@@ -75,20 +82,36 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_delimiters, p4_found, p4_wide, p4_failures, p5_found, p5_valid, p6_found, p6_hierarchies, p6_descendants)}
+#: Each row with the attribute (a) and the value (v) read from it. A listed whole number is its digits or a long name.
+_READ = """WITH inv AS (SELECT attr, val_type, val, long_name FROM feat_inventory WHERE attr IS NOT NULL),
+nk AS (SELECT DISTINCT regexp_replace(lower(attr), '[^a-z0-9]', '', 'g') AS k, attr, val_type FROM inv),
+ln AS (SELECT attr, val, regexp_replace(lower(long_name), '[^a-z0-9]', '', 'g') AS k FROM inv WHERE val IS NOT NULL),
+vk AS (SELECT attr, val, regexp_replace(lower(val), '[^a-z0-9]', '', 'g') AS k FROM inv WHERE val IS NOT NULL UNION SELECT * FROM ln),
+free AS (SELECT attr FROM inv GROUP BY 1 HAVING count(val) = 0),
+f AS (SELECT *, regexp_replace(lower(regexp_replace(trim(attr), '^([A-Za-z0-9_-]+[.:]+)+([A-Za-z0-9])', '\\2')), '[^a-z0-9]', '', 'g') AS ak, regexp_replace(lower(regexp_replace(trim(val), '^([A-Za-z0-9_-]+[.:]+)+([A-Za-z0-9])', '\\2')), '[^a-z0-9]', '', 'g') AS k,
+CASE WHEN regexp_full_match(trim(val), '\\+?[0-9]+(\\.0*)?') THEN regexp_replace(regexp_extract(trim(val), '[0-9]+'), '^0+([0-9])', '\\1') END AS num FROM conllu_feats),
+r AS (SELECT f.*, nk.attr AS a, nk.val_type AS vt FROM f LEFT JOIN nk ON nk.k = f.ak),
+x AS (SELECT r.row_no, r.word_id, r.attr, r.val, r.a, r.loaded_at, CASE vt WHEN 'category' THEN vk.val
+WHEN 'flag' THEN CASE WHEN trim(lower(r.val)) IN ('true', 't', 'yes', 'y', 'on', '1') THEN 'true' WHEN trim(lower(r.val)) IN ('false', 'f', 'no', 'n', 'off', '0') THEN 'false' END
+WHEN 'whole' THEN CASE WHEN r.a IN (SELECT attr FROM free) THEN num WHEN num IS NOT NULL THEN (SELECT max(val) FROM inv i WHERE i.attr = r.a AND i.val = num) WHEN NOT regexp_matches(r.val, '[0-9]') THEN (SELECT max(val) FROM ln WHERE ln.attr = r.a AND ln.k = r.k) END END AS v
+FROM r LEFT JOIN vk ON vk.attr = r.a AND vk.k = r.k AND r.vt = 'category')
+"""
+
 _PAIR = "[A-Z][A-Za-z0-9]*(\\[[A-Za-z0-9]+\\])?=[A-Z0-9][A-Za-z0-9]*(,[A-Z0-9][A-Za-z0-9]*)*"
 
 SQL = {
     "p2_found": P2_FOUND,
-    "p4_found": """WITH inv AS (SELECT attr, val_type, val, long_name FROM feat_inventory WHERE attr IS NOT NULL),
-nk AS (SELECT DISTINCT regexp_replace(lower(attr), '[^a-z0-9]', '', 'g') AS k, attr, val_type FROM inv),
-vk AS (SELECT attr, val, regexp_replace(lower(val), '[^a-z0-9]', '', 'g') AS k FROM inv WHERE val IS NOT NULL UNION SELECT attr, val, regexp_replace(lower(long_name), '[^a-z0-9]', '', 'g') FROM inv WHERE val IS NOT NULL),
-lst AS (SELECT attr, count(val) AS n FROM inv GROUP BY 1),
-r AS (SELECT f.*, nk.attr AS a, nk.val_type AS vt, regexp_replace(lower(regexp_replace(trim(f.val), '^([A-Za-z0-9_-]+[.:]+)+([A-Za-z0-9])', '\\2')), '[^a-z0-9]', '', 'g') AS k, lower(regexp_replace(f.val, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')) AS fl,
-CASE WHEN regexp_full_match(trim(f.val), '\\+?[0-9]+(\\.0*)?') THEN regexp_replace(regexp_extract(trim(f.val), '[0-9]+'), '^0+([0-9])', '\\1') END AS num
-FROM conllu_feats f JOIN nk ON nk.k = regexp_replace(lower(regexp_replace(trim(f.attr), '^([A-Za-z0-9_-]+[.:]+)+([A-Za-z0-9])', '\\2')), '[^a-z0-9]', '', 'g') WHERE f.word_id IS NOT NULL),
-x AS (SELECT r.word_id, r.a, r.loaded_at, r.row_no, CASE vt WHEN 'category' THEN vk.val WHEN 'flag' THEN CASE WHEN fl IN ('true', 't', 'yes', 'y', 'on', '1') THEN 'true' WHEN fl IN ('false', 'f', 'no', 'n', 'off', '0') THEN 'false' END
-ELSE CASE WHEN lst.n = 0 THEN num WHEN num IS NULL THEN vk.val WHEN num IN (SELECT val FROM inv i WHERE i.attr = r.a AND val IS NOT NULL) THEN num END END AS v FROM r JOIN lst ON lst.attr = r.a LEFT JOIN vk ON vk.attr = r.a AND vk.k = r.k)
-SELECT word_id, a AS attr, v AS val FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NOT NULL) WHERE rn = 1""",
+    "p4_found": _READ + """SELECT word_id, a AS attr, v AS val FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NOT NULL AND word_id IS NOT NULL) WHERE rn = 1""",
+    "p4_wide": _READ + """, got AS (SELECT word_id, a, v FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NOT NULL AND word_id IS NOT NULL) WHERE rn = 1),
+bad AS (SELECT word_id, a, val FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NULL AND val IS NOT NULL AND a IS NOT NULL AND word_id IS NOT NULL) WHERE rn = 1 AND (word_id, a) NOT IN (SELECT (word_id, a) FROM got)),
+u AS (SELECT word_id, string_agg(a || '=' || val, ';' ORDER BY a) AS unread FROM bad GROUP BY 1),
+ids AS (SELECT word_id FROM got UNION SELECT word_id FROM bad)
+SELECT word_id, max(v) FILTER (a = 'Case') AS "case", max(v) FILTER (a = 'Definite') AS definite, max(v) FILTER (a = 'Degree') AS degree, max(v) FILTER (a = 'Foreign') = 'true' AS "foreign",
+max(v) FILTER (a = 'Gender') AS gender, max(v) FILTER (a = 'Mood') AS mood, max(v) FILTER (a = 'NumValue') AS numvalue, max(v) FILTER (a = 'Number') AS number, max(v) FILTER (a = 'Number[psor]') AS number_psor,
+max(v) FILTER (a = 'Person') AS person, max(v) FILTER (a = 'Poss') = 'true' AS poss, max(v) FILTER (a = 'PronType') AS prontype, max(v) FILTER (a = 'Reflex') = 'true' AS reflex, max(v) FILTER (a = 'Tense') AS tense,
+max(v) FILTER (a = 'Typo') = 'true' AS typo, max(v) FILTER (a = 'VerbForm') AS verbform, coalesce(any_value(unread), '') AS unread
+FROM ids LEFT JOIN got USING (word_id) LEFT JOIN u USING (word_id) GROUP BY 1""",
+    "p4_failures": _READ + """SELECT row_no, word_id, attr, val, CASE WHEN trim(coalesce(attr, '')) = '' THEN 'no name' WHEN a IS NULL THEN 'unknown attribute' WHEN trim(coalesce(val, '')) = '' THEN 'no value' ELSE 'unreadable value' END AS reason FROM x WHERE v IS NULL""",
     "p5_found": f"""WITH l AS (SELECT line_id, regexp_replace(regexp_replace(line, '^' || chr(65279), ''), chr(13) || '$', '') AS t FROM conllu_lines WHERE line IS NOT NULL),
 f AS (SELECT line_id, string_split(t, chr(9)) AS c FROM l WHERE NOT starts_with(t, '#') AND NOT regexp_full_match(t, '[ \\t\\n\\r\\f\\x0B]*')),
 g AS (SELECT line_id, len(c) AS n, c[1] AS id, c[6] AS feats, c[7] AS head, length(c[6]) - length(replace(c[6], '"', '')) AS q FROM f),

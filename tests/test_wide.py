@@ -20,10 +20,11 @@ def run(spark, rows):
 
 READINGS = [
     ("Case", "Nom", ("Case", "Nom")), (" case ", "nominative", ("Case", "Nom")), ("UD:case", "ACC.", ("Case", "Acc")), ("feats.number_psor", " sing", ("Number[psor]", "Sing")),
-    ("number psor", "Singular", ("Number[psor]", "Sing")), ("Person", "second", ("Person", "2")), ("Person", "02", ("Person", "2")), ("Person", "3", None), ("num-value", "+0012", ("NumValue", "12")),
+    ("number psor", "Singular", ("Number[psor]", "Sing")), ("Person", "second", ("Person", "2")), ("Person", "02", ("Person", "2")), ("Person", "3", None), ("Person", "-2", None), ("Person", "-1", None), ("Person", "1.2", None), ("Person", "4.3", None), ("Person", "(2)", None),
+    ("Person", "2.0", ("Person", "2")), ("Person", " FIRST ", ("Person", "1")), ("Person", "first?", ("Person", "1")), ("Person", "1 or 2", None), ("Person", "", None), ("num-value", "+0012", ("NumValue", "12")),
     ("NumValue", "3482.00", ("NumValue", "3482")), ("NumValue", "4.5", None), ("NumValue", "-2", None), ("NumValue", "0", ("NumValue", "0")), ("NumValue", "000", ("NumValue", "0")),
     ("NumValue", "9" * 60, ("NumValue", "9" * 60)), ("NumValue", "1-3", None), ("poss", "Y", ("Poss", "true")), ("Poss", "0", ("Poss", "false")), ("Poss", "FALSE", ("Poss", "false")), ("Poss", "yes/no", None),
-    ("Poss", "2", None), ("Colour", "Yes", None), ("", "Yes", None), (None, "Yes", None), ("Case", None, None), ("Case", "not Nom", None), ("Case", "", None),
+    ("Poss", "2", None), ("Poss", "-1", None), ("Poss", "+1", None), ("Poss", "yes.", ("Poss", "true")), ("Colour", "Yes", None), ("", "Yes", None), (None, "Yes", None), ("Case", None, None), ("Case", "not Nom", None), ("Case", "", None),
 ]
 
 

@@ -10,7 +10,7 @@ CONLLU_COLUMNS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "depre
 
 _N1, _N0 = "[1-9][0-9]*", "(?:0|[1-9][0-9]*)"
 _WORD, _RANGE, _EMPTY = f"^{_N1}$", f"^{_N1}-{_N1}$", rf"^{_N0}\.{_N1}$"
-_NAME = r"[A-Z][A-Za-z0-9]*(?:\[[A-Za-z0-9]+\])?"
+_NAME = r"\p{Lu}[\p{L}\p{N}]*(?:\[[\p{L}\p{N}]+\])?"
 _PAIR = f"{_NAME}=[A-Z0-9][A-Za-z0-9]*(?:,[A-Z0-9][A-Za-z0-9]*)*"
 _FEATS = rf"^{_PAIR}(?:\|{_PAIR})*$"
 

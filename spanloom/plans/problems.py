@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import hierarchy, packed, rejects, wide
-from spanloom.plans.packed_sql import P2_FOUND
+from spanloom.plans.packed_sql import P2_DELIMITERS, P2_FOUND
 from spanloom.tables import PLAIN_NUMBER, current_rows, current_words, read
 
 PACKED = {"feats": packed.FEATURE, "deps": packed.DEPENDENCY}
@@ -19,7 +19,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_delimiters(spark: SparkSession, d: str) -> DataFrame:
-    return packed.delimiter_scores(read(spark, d, "conllu"), "treebank", PACKED)
+    """The scores of every candidate, and which reach the bar; those are the separators p2_found cuts by."""
+    s = packed.delimiter_scores(read(spark, d, "conllu"), "treebank", PACKED)
+    return s.withColumns({c: F.round(c, 8) for c in ("regularity", "consistency", "score")} | {"chosen": F.col("score") >= packed.LEAST_SCORE})
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
@@ -97,10 +99,11 @@ WHEN 'whole' THEN CASE WHEN r.a IN (SELECT attr FROM free) THEN num WHEN num IS
 FROM r LEFT JOIN vk ON vk.attr = r.a AND vk.k = r.k AND r.vt = 'category')
 """
 
-_PAIR = "[A-Z][A-Za-z0-9]*(\\[[A-Za-z0-9]+\\])?=[A-Z0-9][A-Za-z0-9]*(,[A-Z0-9][A-Za-z0-9]*)*"
+_PAIR = "\\p{Lu}[\\p{L}\\p{N}]*(\\[[\\p{L}\\p{N}]+\\])?=[A-Z0-9][A-Za-z0-9]*(,[A-Z0-9][A-Za-z0-9]*)*"
 
 SQL = {
     "p2_found": P2_FOUND,
+    "p2_delimiters": P2_DELIMITERS,
     "p4_found": _READ + """SELECT word_id, a AS attr, v AS val FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NOT NULL AND word_id IS NOT NULL) WHERE rn = 1""",
     "p4_wide": _READ + """, got AS (SELECT word_id, a, v FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NOT NULL AND word_id IS NOT NULL) WHERE rn = 1),
 bad AS (SELECT word_id, a, val FROM (SELECT *, row_number() OVER (PARTITION BY word_id, a ORDER BY loaded_at DESC NULLS LAST, row_no DESC) AS rn FROM x WHERE v IS NULL AND val IS NOT NULL AND a IS NOT NULL AND word_id IS NOT NULL) WHERE rn = 1 AND (word_id, a) NOT IN (SELECT (word_id, a) FROM got)),

@@ -81,3 +81,14 @@ def test_unwrap(spark, text, want):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(text,)], "t string").select(packed.unwrap(F.col("t"))).head()[0] == want
+
+
+def test_a_stray_row_admits_no_separator(spark):
+    rows = [(i, f"s{i % 5}", "A=b;C=d", None, None, None, None) for i in range(400)]
+    stray = [(1000, "s1", "A=b/c;Gloss=up/Down=e", None, None, None, None), (1001, "s1", "A=b C=d", None, None, None, None)]
+    plain, got = split(spark, rows), split(spark, rows + stray)
+    assert {k: v for k, v in got.items() if k[0] < 1000} == plain
+    assert got[1000, "feats"] == ["A=b/c", "Gloss=up/Down=e"]  # the slash is an ordinary character of this collection
+    assert got[1001, "feats"] == ["A=b C=d"]
+    used = [(2000 + i, "s2", "A=b/C=d", None, None, None, None) for i in range(20)]
+    assert split(spark, rows + stray + used)[1000, "feats"] == ["A=b/c", "Gloss=up", "Down=e"]  # a separator that the collection uses

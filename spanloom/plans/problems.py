@@ -79,7 +79,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    parts = [hierarchy.descendant_rows(hierarchy.hierarchy(f(spark, d), ways=True)).withColumn("source", F.lit(name)) for name, f in TREES]
+    parts = [hierarchy.descendants(f(spark, d)).withColumn("source", F.lit(name)) for name, f in TREES]
     return parts[0].unionByName(parts[1])
 
 
@@ -99,6 +99,23 @@ WHEN 'whole' THEN CASE WHEN r.a IN (SELECT attr FROM free) THEN num WHEN num IS
 FROM r LEFT JOIN vk ON vk.attr = r.a AND vk.k = r.k AND r.vt = 'category')
 """
 
+#: The nodes of both sources (n), the paths from roots (p) and the nodes whose way up ends nowhere (d).
+_TREES = """WITH RECURSIVE cn AS (SELECT parse_id, cons, parent, left_child, right_sib FROM (SELECT *, row_number() OVER (PARTITION BY parse_id, cons ORDER BY loaded_at DESC NULLS LAST) AS rn FROM constituents) WHERE rn = 1),
+own AS (SELECT parse_id, left_child AS cons, min(cons) AS q FROM cn WHERE left_child >= 0 GROUP BY 1, 2),
+lead AS (SELECT parse_id, cons, q, 0 AS hop FROM own UNION ALL SELECT l.parse_id, c.right_sib, q, hop + 1 FROM lead l JOIN cn c ON c.parse_id = l.parse_id AND c.cons = l.cons WHERE c.right_sib >= 0 AND hop < 200),
+led AS (SELECT parse_id, cons, arg_min(q, hop * 100000 + q) AS q FROM lead GROUP BY 1, 2),
+cw AS (SELECT sent_id, TRY_CAST(id AS BIGINT) AS node, head FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM conllu) WHERE rn = 1 AND regexp_full_match(id, '[0-9]+')),
+n AS (SELECT 'constituents' AS source, cn.parse_id AS tree_id, cn.cons::BIGINT AS node, CASE WHEN parent >= 0 THEN parent WHEN parent IS NULL THEN q END::BIGINT AS up, parent < 0 OR (parent IS NULL AND q IS NULL) AS is_root FROM cn LEFT JOIN led USING (parse_id, cons)
+UNION ALL SELECT 'conllu', sent_id, node, CASE WHEN regexp_full_match(head, '[0-9]+') THEN TRY_CAST(head AS BIGINT) END, coalesce(regexp_full_match(head, '[0-9]+') AND TRY_CAST(head AS BIGINT) = 0, false) FROM cw WHERE node IS NOT NULL),
+p AS (SELECT source, tree_id, node, node::VARCHAR AS path FROM n WHERE is_root UNION ALL SELECT n.source, n.tree_id, n.node, p.path || '/' || n.node FROM p JOIN n ON n.source = p.source AND n.tree_id = p.tree_id AND n.up = p.node AND NOT coalesce(n.is_root, false)),
+d AS (SELECT n.source, n.tree_id, n.node FROM n LEFT JOIN n m ON m.source = n.source AND m.tree_id = n.tree_id AND m.node = n.up WHERE NOT coalesce(n.is_root, false) AND m.node IS NULL UNION ALL SELECT n.source, n.tree_id, n.node FROM d JOIN n ON n.source = d.source AND n.tree_id = d.tree_id AND n.up = d.node AND NOT coalesce(n.is_root, false))"""
+
+#: The nodes that aren't on a cycle (f), and each of their descendants (below).
+_FOREST = """, reach AS (SELECT source, tree_id, node, up AS anc FROM n WHERE up IS NOT NULL AND NOT coalesce(is_root, false) UNION SELECT r.source, r.tree_id, r.node, m.up FROM reach r JOIN n m ON m.source = r.source AND m.tree_id = r.tree_id AND m.node = r.anc WHERE m.up IS NOT NULL AND NOT coalesce(m.is_root, false)),
+ring AS (SELECT source, tree_id, node FROM reach WHERE node = anc),
+f AS (SELECT n.source, n.tree_id, n.node, CASE WHEN NOT coalesce(n.is_root, false) THEN n.up END AS up FROM n ANTI JOIN ring USING (source, tree_id, node)),
+below AS (SELECT f.source, f.tree_id, f.node, f.up AS anc, 1 AS distance FROM f JOIN f g ON g.source = f.source AND g.tree_id = f.tree_id AND g.node = f.up UNION ALL SELECT b.source, b.tree_id, b.node, g.up, distance + 1 FROM below b JOIN f g ON g.source = b.source AND g.tree_id = b.tree_id AND g.node = b.anc JOIN f h ON h.source = g.source AND h.tree_id = g.tree_id AND h.node = g.up)"""
+
 _PAIR = "\\p{Lu}[\\p{L}\\p{N}]*(\\[[\\p{L}\\p{N}]+\\])?=[A-Z0-9][A-Za-z0-9]*(,[A-Z0-9][A-Za-z0-9]*)*"
 
 SQL = {
@@ -125,14 +142,12 @@ WHEN NOT (regexp_full_match(id, '[1-9][0-9]*') OR regexp_full_match(id, '(0|[1-9
 WHEN regexp_full_match(id, '[1-9][0-9]*') AND (NOT regexp_full_match(head, '0|[1-9][0-9]*') OR head = id) THEN 'head' WHEN NOT regexp_full_match(id, '[1-9][0-9]*') AND head <> '_' THEN 'head'
 WHEN bare <> '_' AND (NOT regexp_full_match(bare, '{_PAIR}(\\|{_PAIR})*') OR len(list_distinct([split_part(x, '=', 1) for x in string_split(bare, '|')])) <> len(string_split(bare, '|'))) THEN 'feats' END AS reason FROM k)
 SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
-    "p6_found": """WITH RECURSIVE cn AS (SELECT parse_id, cons, parent, left_child, right_sib FROM (SELECT *, row_number() OVER (PARTITION BY parse_id, cons ORDER BY loaded_at DESC NULLS LAST) AS rn FROM constituents) WHERE rn = 1),
-own AS (SELECT parse_id, left_child AS cons, min(cons) AS q FROM cn WHERE left_child >= 0 GROUP BY 1, 2),
-lead AS (SELECT parse_id, cons, q, 0 AS hop FROM own UNION ALL SELECT l.parse_id, c.right_sib, q, hop + 1 FROM lead l JOIN cn c ON c.parse_id = l.parse_id AND c.cons = l.cons WHERE c.right_sib >= 0 AND hop < 200),
-led AS (SELECT parse_id, cons, arg_min(q, hop * 100000 + q) AS q FROM lead GROUP BY 1, 2),
-cw AS (SELECT sent_id, TRY_CAST(id AS BIGINT) AS node, head FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM conllu) WHERE rn = 1 AND regexp_full_match(id, '[0-9]+')),
-n AS (SELECT 'constituents' AS source, cn.parse_id AS tree_id, cn.cons::BIGINT AS node, CASE WHEN parent >= 0 THEN parent WHEN parent IS NULL THEN q END::BIGINT AS up, parent < 0 OR (parent IS NULL AND q IS NULL) AS is_root FROM cn LEFT JOIN led USING (parse_id, cons)
-UNION ALL SELECT 'conllu', sent_id, node, CASE WHEN regexp_full_match(head, '[0-9]+') THEN TRY_CAST(head AS BIGINT) END, coalesce(regexp_full_match(head, '[0-9]+') AND TRY_CAST(head AS BIGINT) = 0, false) FROM cw WHERE node IS NOT NULL),
-p AS (SELECT source, tree_id, node, node::VARCHAR AS path FROM n WHERE is_root UNION ALL SELECT n.source, n.tree_id, n.node, p.path || '/' || n.node FROM p JOIN n ON n.source = p.source AND n.tree_id = p.tree_id AND n.up = p.node AND NOT coalesce(n.is_root, false)),
-d AS (SELECT n.source, n.tree_id, n.node FROM n LEFT JOIN n m ON m.source = n.source AND m.tree_id = n.tree_id AND m.node = n.up WHERE NOT coalesce(n.is_root, false) AND m.node IS NULL UNION ALL SELECT n.source, n.tree_id, n.node FROM d JOIN n ON n.source = d.source AND n.tree_id = d.tree_id AND n.up = d.node AND NOT coalesce(n.is_root, false))
+    "p6_found": _TREES + """
 SELECT n.source, n.tree_id, n.node, coalesce(p.path, CASE WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END) AS path FROM n LEFT JOIN p USING (source, tree_id, node) LEFT JOIN d USING (source, tree_id, node)""",
+    "p6_hierarchies": _TREES + _FOREST + """
+SELECT n.source, n.tree_id AS tree, n.node, CASE WHEN p.path IS NOT NULL THEN 'tree' WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END AS state, coalesce(p.path, CASE WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END) AS path,
+CAST(CASE WHEN p.path IS NOT NULL THEN len(string_split(p.path, '/')) - 1 END AS INTEGER) AS depth, CAST(split_part(p.path, '/', 1) AS BIGINT) AS root, CASE WHEN f.node IS NOT NULL THEN 1 + coalesce(c.n, 0) END AS subtree_size
+FROM n LEFT JOIN p USING (source, tree_id, node) LEFT JOIN d USING (source, tree_id, node) LEFT JOIN f USING (source, tree_id, node) LEFT JOIN (SELECT source, tree_id, anc AS node, count(*) AS n FROM below GROUP BY ALL) c USING (source, tree_id, node)""",
+    "p6_descendants": _TREES + _FOREST + """
+SELECT source, tree_id AS tree, anc AS node, node AS descendant, distance FROM below""",
 }

@@ -148,3 +148,30 @@ def test_owner_pointers_double():
     left[0] = 1
     right[1:n - 1] = np.arange(2, n)
     assert (h._owners(np.arange(n), left, right)[1:] == 0).all()
+
+
+def test_doubling_gives_the_same(spark):
+    nodes, links = random_nodes(10, trees=6, most=30)
+    hidden = [(t, n, p if (n % 3 or r) else None, r) for t, n, p, r in nodes]
+    df = spark.createDataFrame([(t, n, p, r, *links[t, n]) for t, n, p, r in hidden], "tree bigint, node bigint, parent bigint, is_root boolean, left_child bigint, right_sib bigint")
+    local, large = h.hierarchy(df, ways=True), h.hierarchy(df, local_nodes=3, ways=True).collect()
+    assert sorted(map(str, local.collect())) == sorted(map(str, large))
+    want = sorted(map(tuple, h.descendant_rows(local).collect()))
+    assert want == sorted(map(tuple, h.descendants(df).collect())) == sorted(map(tuple, h.descendant_rows(spark.createDataFrame(large, local.schema)).collect()))
+
+
+def test_large_trees(spark):
+    # a chain, a star and a ring with a tail, all above what a task takes
+    n = 1_500
+    chain = spark.range(n).selectExpr("1L as tree", "id as node", "case when id > 0 then id - 1 end as parent", "id = 0 as is_root")
+    star = spark.range(40_000).selectExpr("2L as tree", "id as node", "case when id > 0 then 0L end as parent", "id = 0 as is_root")
+    ring = spark.range(600).selectExpr("3L as tree", "id as node", "case when id = 0 then 99L else id - 1 end as parent", "false as is_root")
+    rows = h.hierarchy(chain.union(star).union(ring), local_nodes=500, paths=False).collect()
+    assert len(rows) == n + 40_600
+    for r in rows:
+        if r.tree == 1:
+            assert (r.state, r.depth, r.root, r.subtree_size) == ("tree", r.node, 0, n - r.node)
+        elif r.tree == 2:
+            assert (r.state, r.depth, r.subtree_size) == ("tree", 0, 40_000) if r.node == 0 else ("tree", 1, 1)
+        else:
+            assert (r.state, r.subtree_size) == ("cycle", None if r.node < 100 else 600 - r.node)

@@ -80,7 +80,12 @@ def p9_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.lower(F.hex("look")).alias("look"), "n_texts", "n_docs", "first_doc")
 
 
-QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p3_found, p3_enriched, p7_ids, p7_decoded, p8_found, p8_near, p9_found, p9_groups)}
+def p9_members(spark: SparkSession, d: str) -> DataFrame:
+    m = skeleton.look_alike_members(read(spark, d, "documents"))
+    return m.select("doc_id", F.lower(F.hex("look")).alias("look"), "n_texts", "n_docs")
+
+
+QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p3_found, p3_enriched, p7_ids, p7_decoded, p8_found, p8_near, p9_found, p9_groups, p9_members)}
 
 _WORDS = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY loaded_at DESC NULLS LAST) AS rn FROM conllu) WHERE rn = 1 AND regexp_full_match(id, '[0-9]+'))"""
 

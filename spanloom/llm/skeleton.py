@@ -6,14 +6,16 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.session import BROADCAST_ROWS, cut, small
 
-#: Letters of other scripts (and script g) and the Latin letter that each looks like.
+#: Letters of other scripts (and script g) and the Latin letter that each looks like, with the case that each
+#: has; they go before the table of the Unicode security data, which knows only one prototype for I, l and 1.
 LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "У": "Y", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "Ӏ": "I",
@@ -22,6 +24,9 @@ LOOK_ALIKES = {
     "ɡ": "g", "օ": "o", "ս": "u", "հ": "h",
 }
 
+#: A class with more documents goes by broadcast when classes are joined back; 1 in HOT_CLASS documents bounds their number.
+HOT_CLASS = 100_000
+
 #: Forms of the hyphen.
 HYPHENS = "‐‑⁃﹣－"
 
@@ -29,10 +34,21 @@ HYPHENS = "‐‑⁃﹣－"
 UNSEEN = "͏ᅟᅠㅤﾠ឴឵"
 
 
-def prototype(ch: str) -> str:
-    """What a character of decomposed text looks like: itself, another string, or nothing."""
-    if ch in LOOK_ALIKES:
-        return LOOK_ALIKES[ch]
+#: Letters of the IPA that are forms of a plain Latin letter. Other Latin letters (dotless i, o with stroke, ae) stay themselves.
+LATIN_FORMS = {"ɑ": "a", "ɡ": "g"}
+
+#: The letters of Lisu, which have one case and the shapes of Latin capitals.
+_LISU = range(0xA4D0, 0xA4F8)
+
+
+def prototype(ch: str, confusable: dict[str, str] | None = None, letters: bool = True) -> str:
+    """What a character of decomposed text looks like: itself, another string, or nothing.
+
+    confusable: letters of other scripts and their prototypes (confusables); without it only LOOK_ALIKES are known. With
+    letters=False no letter is taken for another, only width, ligatures, blanks, hyphens and unseen characters are settled.
+    """
+    if letters and (ch in LOOK_ALIKES or ch in LATIN_FORMS):
+        return LOOK_ALIKES.get(ch) or LATIN_FORMS[ch]
     if ch in HYPHENS:
         return "-"
     kind = unicodedata.category(ch)
@@ -44,28 +60,74 @@ def prototype(ch: str) -> str:
     if kind == "Zs":
         return " "
     how = unicodedata.decomposition(ch)
-    if how.startswith(("<wide>", "<narrow>")) and kind[0] in "LN" or how.startswith("<compat>") and "LIGATURE" in unicodedata.name(ch, ""):
-        return "".join(prototype(c) for c in unicodedata.normalize("NFKD", ch))
-    return ch
+    # width, ligatures, letters and digits of mathematical alphabets, Roman numerals; not raised or circled ones
+    if how.startswith(("<wide>", "<narrow>", "<font>")) and kind[0] in "LN" or how.startswith("<compat>") and (kind == "Nl" or "LIGATURE" in unicodedata.name(ch, "")):
+        return "".join(prototype(c, confusable, letters) for c in unicodedata.normalize("NFKD", ch))
+    return (confusable or {}).get(ch, ch)
+
+
+@cache
+def _cased_letters() -> tuple[str, ...]:
+    """The letters of scripts with two cases, and of Lisu, outside Latin, that no rule of `prototype` settles."""
+    out = []
+    for code in range(0x370, 0x20000):
+        ch = chr(code)
+        if (unicodedata.category(ch) in ("Lu", "Ll") or code in _LISU) and not unicodedata.decomposition(ch) and not unicodedata.name(ch, "LATIN").startswith("LATIN"):
+            out.append(ch)
+    return tuple(out)
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """The letters of other scripts that look like another letter, and their prototypes, from the Unicode security data that Spark's own ICU library carries.
+
+    Taken are letters of scripts with two cases (Greek, Cyrillic, Armenian, Coptic, Cherokee, ...) and of Lisu whose prototype is one
+    character, with or without marks. The data have one prototype for I, l and 1 and one for O and 0, so a capital goes to I
+    or O. Left out are Latin letters (dotless i is another letter than i), scripts without case (Arabic alef is no l to its
+    readers), and pairs of letters (yu is no lo). The table depends on the Unicode version of that library and on nothing else;
+    it has some hundred entries.
+    """
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    letters, out = _cased_letters(), {}
+    for i in range(0, len(letters), 1_000):
+        some = letters[i : i + 1_000]
+        for ch, to in zip(some, checker.getSkeleton("\n".join(some)).split("\n"), strict=True):
+            if to != ch and unicodedata.category(to[0])[0] in "LN" and all(unicodedata.combining(c) for c in to[1:]):
+                out[ch] = "I" if to == "l" and unicodedata.category(ch) != "Ll" else to
+    # a prototype is put through the table too, so that one pass is enough
+    return {ch: "".join(prototype(c, out) for c in unicodedata.normalize("NFD", to)) for ch, to in out.items()}
 
 
 class _Prototypes(dict):
     """The look-alike table, filled by rule as characters are met."""
 
+    def __init__(self, confusable: dict[str, str] | None = None, letters: bool = True):
+        super().__init__()
+        self.confusable, self.letters = confusable, letters
+
     def __missing__(self, code: int) -> str:
-        self[code] = out = prototype(chr(code))
+        self[code] = out = prototype(chr(code), self.confusable, self.letters)
         return out
 
+    def __reduce__(self):
+        return _Prototypes, (self.confusable, self.letters)
+
+
+def look_alike_table(spark: SparkSession) -> _Prototypes:
+    """The whole table for skeleton(): the fixed values, the rules and the Unicode security data."""
+    return _Prototypes(confusables(spark))
+
 
 _TABLE = _Prototypes()
+#: The table that leaves letters what they are.
+FORMS = _Prototypes(letters=False)
 _ODD_ASCII = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 
-def skeleton(text: str) -> str:
-    """Decompose, put every character's prototype in its place, decompose again."""
+def skeleton(text: str, table: dict[int, str] = _TABLE) -> str:
+    """Decompose, put every character's prototype in its place, decompose again. table: look_alike_table(); the default lacks the Unicode security data."""
     if text.isascii():
         return _ODD_ASCII.sub("", text)
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_TABLE))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table))
 
 
 def _digest(s: str) -> bytes:
@@ -75,22 +137,25 @@ def _digest(s: str) -> bytes:
 def with_skeleton(df: DataFrame, text: str = "text", to: str = "skeleton") -> DataFrame:
     """df with the skeleton of a text column; null for null, empty for texts that show nothing at all."""
 
+    table = look_alike_table(df.sparkSession)
+
     @F.pandas_udf("string")
     def of(s):
-        return s.map(skeleton, na_action="ignore")
+        return s.map(lambda t: skeleton(t, table), na_action="ignore")
 
     return df.withColumn(to, of(F.col(text)))
 
 
 def skeleton_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, look, exact: 16-byte digests of skeleton and text. Null texts and texts without a visible character are left out."""
+    table = look_alike_table(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, looks, exacts = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
-                    s = skeleton(t)
+                    s = skeleton(t, table)
                     if s and not s.isspace():
                         ids.append(i), looks.append(_digest(s)), exacts.append(_digest(t))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(looks, pa.binary()), pa.array(exacts, pa.binary())], names=["doc_id", "look", "exact"])
@@ -101,10 +166,28 @@ def skeleton_keys(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def look_alike_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """look, n_texts, n_docs, first_doc: the groups of documents that look the same, only digests and counts are shuffled."""
-    per = skeleton_keys(df, doc_id, text).groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("d"))
+    return _groups(skeleton_keys(df, doc_id, text))
+
+
+def _groups(keys: DataFrame) -> DataFrame:
+    per = keys.groupBy("look", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("d"))
     return per.groupBy("look").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_docs"), F.min("d").alias("first_doc"))
 
 
+def look_alike_members(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, look, n_texts, n_docs: each document with a visible character, the class of those that look like it, and how many strings and documents the class has.
+
+    Exact copies keep their own rows and aren't paired. Only digests and counts are shuffled; classes are joined back by
+    shuffle, a class that holds many rows by broadcast of the few classes above a bound.
+    """
+    keys = cut(skeleton_keys(df, doc_id, text), "looks")
+    groups = cut(_groups(keys), "groups")
+    hot = F.broadcast(groups.filter(F.col("n_docs") > HOT_CLASS))
+    some = keys.select("doc_id", "look").join(hot.select("look", "n_texts", "n_docs"), "look")
+    rest = keys.select("doc_id", "look").join(hot.select("look"), "look", "left_anti").join(groups.select("look", "n_texts", "n_docs"), "look")
+    return some.unionByName(rest)
+
+
 def look_alike_pairs(keys: DataFrame) -> DataFrame:
     """doc_id_1, doc_id_2 (smaller first): documents that look the same but are stored as different strings.
 

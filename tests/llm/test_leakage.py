@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanloom.llm import leakage as le
+from spanloom.llm.skeleton import look_alike_table
 
 ITEM = "One two three four five six seven eight nine ten eleven twelve."
 
@@ -60,10 +61,10 @@ def test_boundaries(spark):
     assert run(spark, [], items) == {} and run(spark, docs, []) == {}
 
 
-def test_blocks_and_repeats_and_long(spark):
+def test_repeats_and_long(spark):
     docs = [(1, ITEM, "prose"), (1, ITEM, "prose"), (2, "x " * 300_000 + ITEM, "prose")]
     items = [(i, f"{ITEM} {i}") for i in range(20)] + [(0, f"{ITEM} 0")]
-    assert run(spark, docs, items, block_items=3) == {(d, i): 0 for d in (1, 2) for i in range(20)}
+    assert run(spark, docs, items) == {(d, i): 0 for d in (1, 2) for i in range(20)}
 
 
 @pytest.mark.parametrize("errors", [0, 1, 2])
@@ -87,3 +88,12 @@ def test_against_brute_force(spark, errors):
             if best <= errors:
                 want[d, i] = best
     assert run(spark, docs, items, errors=errors) == want
+    assert run(spark, docs, items, errors=errors, held_characters=10) == want
+
+
+def test_letters_that_are_one_by_case_or_look(spark):
+    table = le._Keys(look_alike_table(spark))
+    for a, b in [("ВОЙНА И МИР В К", "война и мир в к"), ("ΝΑΙ ΤΟΥ", "ναι του"), ("сору", "COPY"), ("Том", "ТОМ"), ("Вack", "back"), ("ΣΟΦΙΑ ΚΑΙ", "σοφια και"), ("Ёлка", "ёлка"), ("ＦＵＬＬ", "full"), ("Тhе", "THE")]:
+        assert le.words(a, None, table) == le.words(b, None, table), (a, b)
+    assert le.words("naïve", None, table) != le.words("naive", None, table)
+    assert le.words("слово", None, table) != le.words("слова", None, table)

@@ -20,11 +20,13 @@ def test_query_runs(spark, data, name):
 
 
 def test_p8_found_against_brute_force(spark, data):
-    from spanloom.llm.leakage import words
+    from spanloom.llm.leakage import _Keys, words
+    from spanloom.llm.skeleton import look_alike_table
     from spanloom.tables import read
 
-    docs = [(r.doc_id, words(r.text, r.kind)) for r in read(spark, data, "documents").collect()]
-    items = {r.item_id: words(r.text) for r in read(spark, data, "benchmark").collect()}
+    table = _Keys(look_alike_table(spark))
+    docs = [(r.doc_id, words(r.text, r.kind, table)) for r in read(spark, data, "documents").collect()]
+    items = {r.item_id: words(r.text, None, table) for r in read(spark, data, "benchmark").collect()}
     runs = {}
     for i, ws in items.items():
         for k in range(len(ws) - 7):
@@ -34,12 +36,13 @@ def test_p8_found_against_brute_force(spark, data):
 
 
 def test_p9_found_against_brute_force(spark, data):
-    from spanloom.llm.skeleton import skeleton
+    from spanloom.llm.skeleton import look_alike_table, skeleton
     from spanloom.tables import read
 
+    table = look_alike_table(spark)
     by = {}
     for r in read(spark, data, "documents").filter("text is not null").collect():
-        if skeleton(r.text).strip():
-            by.setdefault(skeleton(r.text), []).append((r.doc_id, r.text))
+        if skeleton(r.text, table).strip():
+            by.setdefault(skeleton(r.text, table), []).append((r.doc_id, r.text))
     want = {(a, b) for g in by.values() for a, x in g for b, y in g if a < b and x != y}
     assert {tuple(r) for r in q.p9_found(spark, data).collect()} == want

@@ -51,3 +51,27 @@ def test_groups_and_column(spark):
     df = spark.createDataFrame([(1, "file"), (2, "ﬁle"), (3, "file"), (4, "z"), (5, None)], "doc_id bigint, text string")
     assert sorted((r.n_texts, r.n_docs, r.first_doc) for r in sk.look_alike_groups(df).collect()) == [(1, 1, 4), (2, 3, 1)]
     assert [r.skeleton for r in sk.with_skeleton(df).orderBy("doc_id").collect()] == ["file", "file", "file", "z", None]
+
+
+UNICODE_LOOKS = [
+    ("ρ", "p"), ("α", "a"), ("ι", "i"), ("υ", "u"), ("γ", "y"), ("ѵ", "v"), ("Ѵ", "V"), ("З", "3"), ("Ь", "b"), ("ɑ", "a"), ("ո", "n"), ("ⅰ", "i"), ("Ⅴ", "V"), ("Ⅳ", "IV"), ("𝐀", "A"), ("𝐈", "I"), ("𝟏", "1"),
+    ("Ꭺ", "A"), ("ꓐ", "B"), ("ⲣ", "p"), ("г", "r"), ("κ", "к"), ("І", "I"), ("Ӏ", "I"), ("ӏ", "l"), ("о", "o"), ("ё", "ë"), ("ԝ", "w"),
+]
+UNICODE_APART = [("ı", "i"), ("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("ß", "ss"), ("ю", "lo"), ("в", "b"), ("в", "B"), ("к", "k"), ("м", "m"), ("т", "t"), ("н", "h"), ("ا", "l"), ("0", "O"), ("1", "l"), ("I", "l"), ("rn", "m"), ("²", "2"), ("①", "1"), ("—", "-")]
+
+
+def test_unicode_security_data(spark):
+    table = sk.look_alike_table(spark)
+    for a, b in UNICODE_LOOKS + SAME:
+        assert sk.skeleton(a, table) == sk.skeleton(b, table), (a, b)
+    for a, b in UNICODE_APART + DIFFER:
+        assert sk.skeleton(a, table) != sk.skeleton(b, table), (a, b)
+    every = "".join(chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000)
+    assert sk.skeleton(sk.skeleton(every, table), table) == sk.skeleton(every, table)
+    assert 300 < len(table.confusable) < 5_000
+
+
+def test_members(spark):
+    df = spark.createDataFrame([(1, "file"), (2, "ﬁle"), (3, "file"), (4, "z"), (5, None), (6, " "), (None, "z")], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_texts, r.n_docs) for r in sk.look_alike_members(df).collect())
+    assert got == [(0, 1, 2), (1, 2, 3), (2, 2, 3), (3, 2, 3), (4, 1, 2)]

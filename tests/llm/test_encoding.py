@@ -25,10 +25,10 @@ def run(spark, rows, **kw):
     return en.encode(df, en.tokenizer_path("byte_bpe_50k.tiktoken"), **kw)
 
 
-@pytest.mark.parametrize("heavy", [0, 3, 20_000])
-def test_equals_the_library(spark, reference, heavy):
+@pytest.mark.parametrize("chunk", [1, 50, 250_000])
+def test_equals_the_library(spark, reference, chunk):
     rows = list(enumerate(TEXTS))
-    got = {r.doc_id: list(r.ids) for r in run(spark, rows, heavy_words=heavy).collect()}
+    got = {r.doc_id: list(r.ids) for r in run(spark, rows, chunk_words=chunk).collect()}
     for i, t in rows:
         assert got[i] == reference(t), repr(t[:60])
 
@@ -44,8 +44,8 @@ def test_random_characters(spark, reference):
 def test_null_empty_repeated(spark):
     rows = [(1, None), (2, ""), (3, "same"), (3, "same"), (4, "same"), (4, "other"), (None, "same"), (None, None)]
     same, other = ([list(r.ids) for r in run(spark, [(0, t)]).collect()][0] for t in ("same", "other"))
-    for heavy in (0, 1, 100):
-        got = sorted((r.doc_id if r.doc_id is not None else -1, list(r.ids)) for r in run(spark, rows, heavy_words=heavy).collect())
+    for chunk in (1, 3, 1000):
+        got = sorted((r.doc_id if r.doc_id is not None else -1, list(r.ids)) for r in run(spark, rows, chunk_words=chunk).collect())
         assert got == sorted([(-1, []), (-1, same), (1, []), (2, []), (3, same), (3, same), (4, same), (4, other)])
     assert run(spark, []).count() == 0 and run(spark, []).dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
 
@@ -61,3 +61,11 @@ def test_each_word_is_encoded_once(spark):
     df = spark.createDataFrame([("a b a b a",), ("b a",)], "text string")
     t = {r.word: r.n for r in en.word_table(df, en.tokenizer_path("byte_bpe_50k.tiktoken")).collect()}
     assert t == {"a": 1, " b": 2, " a": 3, "b": 1}
+
+
+def test_decoding_defines_every_case(spark):
+    path = en.tokenizer_path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, [15496, 11]), (2, []), (3, None), (4, [15496, 999_999]), (5, [220]), (5, [220]), (None, [15496]), (6, [None, 11])], "doc_id bigint, ids array<int>")
+    got = sorted(((r.doc_id or 0, r.text) for r in en.decode(df, path, chunk_words=3).collect()), key=str)
+    assert got == sorted([(0, "Hello"), (1, "Hello,"), (2, ""), (3, None), (4, None), (5, " "), (5, " "), (6, None)], key=str)
+    assert en.decode(df.limit(0), path).count() == 0

@@ -83,7 +83,7 @@ def join_by_size(left: DataFrame, right: DataFrame, key: str, size: str, total:
     return by_broadcast.unionByName(by_shuffle)
 
 
-def distinctive_terms(occurrences: DataFrame, record: str, term: str) -> DataFrame:
+def distinctive_terms(occurrences: DataFrame, record: str, term: str, least_d: int = 1) -> DataFrame:
     """Scores of every term of every record: record, term, c, d, n_records, n, k, m, tfidf, enrichment.
 
     c occurrences in the record, n its length, d records with the term, k occurrences in all, m the length of all, n_records
@@ -91,14 +91,14 @@ def distinctive_terms(occurrences: DataFrame, record: str, term: str) -> DataFra
     hypergeometric upper-tail probability of c, computed with vectorised log-gamma sums.
 
     Occurrences meet per (record, term) map-side first; hot terms and hot records are joined by broadcast (join_by_size).
-    Null terms and null records don't count; repeated rows count as often as they occur; an empty table gives no rows.
+    Terms of fewer than least_d records count in every sum but get no row. Null terms and null records don't count; repeated rows count as often as they occur; an empty table gives no rows.
     """
     rows = occurrences.select(F.col(record).alias("record"), F.col(term).cast("string").alias("term")).filter("record is not null and term is not null")
     pairs = cut(rows.groupBy("record", "term").agg(F.count(F.lit(1)).alias("c")), "pairs")
     records = cut(pairs.groupBy("record").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("__terms")), "records")
     terms = cut(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("k")), "terms")
     whole = records.agg(F.count(F.lit(1)).alias("r"), F.coalesce(F.sum("n"), F.lit(0)).alias("m"), F.coalesce(F.sum("__terms"), F.lit(0)).alias("p")).head()
-    j = join_by_size(pairs, terms, "term", "d", whole["p"])
+    j = join_by_size(pairs, terms.filter(F.col("d") >= least_d), "term", "d", whole["p"])
     sized = cut(j, "sized") if _has_heavy_records(records, whole["p"]) else j
     j = join_by_size(sized, records, "record", "__terms", whole["p"]) if sized is not j else j.join(records, "record")
     j = j.select("record", "term", "c", "d", F.lit(whole["r"]).cast("bigint").alias("n_records"), "n", "k", F.lit(whole["m"]).cast("bigint").alias("m"))
@@ -119,24 +119,27 @@ def top_terms(scores: DataFrame, by: str, n: int, least_d: int = 1) -> DataFrame
 def discovery_adjusted(scores: DataFrame) -> DataFrame:
     """scores with `q`: -ln of the false-discovery adjusted probability (Benjamini-Hochberg over all tests).
 
-    Tests are counted per distinct enrichment first; these are sorted by range over the cluster, ranked with the sizes of
-    the ranges before (as many numbers as partitions), and the running minimum is carried over ranges likewise.
+    Rows are sorted by range of (enrichment, record, term), so equal enrichments spread like any others. A row's rank is the
+    size of the ranges before it plus its rank in its range; the best of all later ranks is carried over ranges likewise. So
+    as many numbers as there are ranges are collected twice, and nothing is joined but those.
     """
     scores = cut(scores, "scores")
     spark = scores.sparkSession
-    distinct = scores.groupBy("enrichment").agg(F.count(F.lit(1)).alias("__tests"))
-    ranged = cut(distinct.repartitionByRange(F.col("enrichment").desc()).select("*", F.spark_partition_id().alias("__part")), "ranged")
-    sizes = {r["__part"]: r["t"] for r in ranged.groupBy("__part").agg(F.sum("__tests").alias("t")).collect()}
-    total, before = sum(sizes.values()), {}
+    order = [F.col("enrichment").desc(), F.col("record"), F.col("term")]
+    ranged = scores.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    down = Window.partitionBy("__part").orderBy(*order)
+    ranged = cut(ranged.withColumn("__rank", F.row_number().over(down)), "ranged")
+    sizes = {r["__part"]: r["t"] for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("t")).collect()}
+    total, before, seen = max(sum(sizes.values()), 1), {}, 0
     for p in sorted(sizes):
-        before[p] = sum(sizes[x] for x in before)
+        before[p], seen = seen, seen + sizes[p]
     offsets = F.broadcast(spark.createDataFrame(list(before.items()), "__part int, __before bigint"))
-    up = Window.partitionBy("__part").orderBy(F.col("enrichment").desc())
-    # -ln(p m / rank) = enrichment + ln(rank / m); ties share the largest rank
-    raw = cut(ranged.join(offsets, "__part").withColumn("__q", F.col("enrichment") + F.log((F.col("__before") + F.sum("__tests").over(up)) / F.lit(float(max(total, 1))))), "ranked")
+    # -ln(p m / rank) = enrichment + ln(rank / m); of equal enrichments the last has the best
+    raw = ranged.join(offsets, "__part").withColumn("__q", F.col("enrichment") + F.log((F.col("__before") + F.col("__rank")) / F.lit(float(total))))
     best = {r["__part"]: r["q"] for r in raw.groupBy("__part").agg(F.max("__q").alias("q")).collect()}
-    later = {p: max([best[x] for x in best if x > p], default=float("-inf")) for p in best}
+    later, after = {}, float("-inf")
+    for p in sorted(best, reverse=True):
+        later[p], after = after, max(after, best[p])
     tail = F.broadcast(spark.createDataFrame([(p, float(v)) for p, v in later.items()], "__part int, __later double"))
-    down = Window.partitionBy("__part").orderBy(F.col("enrichment")).rowsBetween(Window.unboundedPreceding, 0)
-    q = raw.join(tail, "__part").select("enrichment", F.greatest(F.lit(0.0), F.col("__later"), F.max("__q").over(down)).alias("q"))
-    return scores.join(q, "enrichment")
+    up = Window.partitionBy("__part").orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return raw.join(tail, "__part").withColumn("q", F.greatest(F.lit(0.0), F.col("__later"), F.max("__q").over(up))).select(*scores.columns, "q")

@@ -45,13 +45,13 @@ def text_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    scores = distinctive.distinctive_terms(text_terms(spark, d), "text_id", "term")
+    scores = distinctive.distinctive_terms(text_terms(spark, d), "text_id", "term", least_d=2)
     return distinctive.top_terms(scores, "tfidf", 3, least_d=2).select(F.col("record").alias("text_id"), "term")
 
 
 def p3_enriched(spark: SparkSession, d: str) -> DataFrame:
     scores = distinctive.discovery_adjusted(distinctive.distinctive_terms(text_terms(spark, d), "text_id", "term"))
-    return scores.select(F.col("record").alias("text_id"), "term", "c", "d", "tfidf", F.round("enrichment", 6).alias("enrichment"), F.round("q", 6).alias("q"))
+    return scores.select(F.col("record").alias("text_id"), "term", "c", "d", "tfidf", F.round("enrichment", 4).alias("enrichment"), F.round("q", 4).alias("q"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,19 @@ UNION ALL
 SELECT 'word', term, occurrences, records, CASE WHEN occurrences < 3 THEN 'rare' WHEN occurrences > 0.005 * (SELECT n FROM nw) THEN 'common' END FROM word)
 """
 
+#: The point probability of x as a sum of log-gammas; the upper tail is summed as it stands.
+_POINT = "lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma(m - k + 1) - lgamma(n - x + 1) - lgamma(m - k - n + x + 1) - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1)"
+
+_TERMS = f"""WITH {_WORDS},
+t AS (SELECT text_id, CASE WHEN lemma IS NOT NULL AND lemma NOT IN ('', '_') THEN lemma WHEN form IS NOT NULL AND form NOT IN ('', '_') THEN lower(form) END AS term FROM cur WHERE text_id IS NOT NULL),
+p AS (SELECT text_id, term, count(*) AS c FROM t WHERE term IS NOT NULL GROUP BY 1, 2),"""
+
 SQL = {
+    "p3_enriched": f"""{_TERMS} df AS (SELECT term, count(*) AS d, sum(c)::BIGINT AS k FROM p GROUP BY 1), l AS (SELECT text_id, sum(c)::BIGINT AS n FROM p GROUP BY 1), w AS (SELECT count(DISTINCT text_id) AS r, sum(c)::BIGINT AS m FROM p),
+j AS (SELECT text_id, term, c, d, n, k, m, round(c * ln(r::DOUBLE / d), 9) AS tfidf FROM p JOIN df USING (term) JOIN l USING (text_id), w),
+e AS (SELECT *, CASE WHEN c <= greatest(0, n + k - m) THEN 0.0 ELSE greatest(0.0, -ln(list_sum(list_transform(range(c, least(n, k) + 1), lambda x: exp({_POINT}))))) END AS enrichment FROM j),
+o AS (SELECT *, enrichment + ln(row_number() OVER (ORDER BY enrichment DESC, text_id, term) / (SELECT count(*) FROM e)::DOUBLE) AS raw, row_number() OVER (ORDER BY enrichment DESC, text_id, term) AS i FROM e)
+SELECT text_id, term, c, d, tfidf, round(enrichment, 4) AS enrichment, round(greatest(0.0, max(raw) OVER (ORDER BY i DESC)), 4) AS q FROM o""",
     "p1_counts": _COUNTS + "SELECT field, term, occurrences, records, mark FROM marked",
     "p1_found": _COUNTS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p3_found": f"""WITH {_WORDS},

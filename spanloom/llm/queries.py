@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import distinctive, encoding, frequency, leakage, skeleton
+from spanloom.llm import distinctive, encoding, frequency, leakage, look_sql, skeleton
 from spanloom.tables import PLAIN_NUMBER, current_rows, current_words, read, specified
 
 
@@ -77,12 +77,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_groups(spark: SparkSession, d: str) -> DataFrame:
     g = skeleton.look_alike_groups(read(spark, d, "documents"))
-    return g.select(F.lower(F.hex("look")).alias("look"), "n_texts", "n_docs", "first_doc")
+    return g.select("first_doc", "n_texts", "n_docs")
 
 
 def p9_members(spark: SparkSession, d: str) -> DataFrame:
     m = skeleton.look_alike_members(read(spark, d, "documents"))
-    return m.select("doc_id", F.lower(F.hex("look")).alias("look"), "n_texts", "n_docs")
+    return m.select("doc_id", F.col("first_doc").alias("class_id"), "n_texts", "n_docs")
 
 
 QUERIES = {f.__name__: f for f in (p1_counts, p1_found, p3_found, p3_enriched, p7_ids, p7_decoded, p8_found, p8_near, p9_found, p9_groups, p9_members)}
@@ -124,3 +124,4 @@ n AS (SELECT count(DISTINCT text_id) AS n FROM p),
 s AS (SELECT text_id, term, row_number() OVER (PARTITION BY text_id ORDER BY round(c * ln((SELECT n FROM n)::DOUBLE / d), 9) DESC, term COLLATE "C") AS r FROM p JOIN df USING (term) WHERE d >= 2)
 SELECT text_id, term FROM s WHERE r <= 3""",
 }
+SQL |= look_sql.SQL

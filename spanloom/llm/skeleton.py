@@ -175,7 +175,7 @@ def _groups(keys: DataFrame) -> DataFrame:
 
 
 def look_alike_members(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, look, n_texts, n_docs: each document with a visible character, the class of those that look like it, and how many strings and documents the class has.
+    """doc_id, look, first_doc, n_texts, n_docs: each document with a visible character, the class of those that look like it, and how many strings and documents the class has.
 
     Exact copies keep their own rows and aren't paired. Only digests and counts are shuffled; classes are joined back by
     shuffle, a class that holds many rows by broadcast of the few classes above a bound.
@@ -183,8 +183,8 @@ def look_alike_members(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     keys = cut(skeleton_keys(df, doc_id, text), "looks")
     groups = cut(_groups(keys), "groups")
     hot = F.broadcast(groups.filter(F.col("n_docs") > HOT_CLASS))
-    some = keys.select("doc_id", "look").join(hot.select("look", "n_texts", "n_docs"), "look")
-    rest = keys.select("doc_id", "look").join(hot.select("look"), "look", "left_anti").join(groups.select("look", "n_texts", "n_docs"), "look")
+    some = keys.select("doc_id", "look").join(hot, "look")
+    rest = keys.select("doc_id", "look").join(hot.select("look"), "look", "left_anti").join(groups, "look")
     return some.unionByName(rest)
 
 

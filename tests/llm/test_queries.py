@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from oracle import same
 
@@ -46,3 +47,42 @@ def test_p9_found_against_brute_force(spark, data):
             by.setdefault(skeleton(r.text, table), []).append((r.doc_id, r.text))
     want = {(a, b) for g in by.values() for a, x in g for b, y in g if a < b and x != y}
     assert {tuple(r) for r in q.p9_found(spark, data).collect()} == want
+
+
+def brute_distances(docs, items, run):
+    """(doc, item) -> least edit distance of any `run` words of the item to any stretch of the document, by the plain table, a row at a time over all documents."""
+    ids = {}
+    number = lambda w: ids.setdefault(w, len(ids))
+    flat, owner = [], []
+    for d, ws in docs:
+        flat += [number(w) for w in ws] + [-1] * (run + 1)
+        owner += [d] * (len(ws) + run + 1)
+    text, owner = np.array(flat), np.array(owner)
+    at = np.arange(len(text))
+    out = {}
+    for i, ws in items.items():
+        best = np.full(len(text), run)
+        for k in range(len(ws) - run + 1):
+            row = np.zeros(len(text), np.int64)
+            for n, w in enumerate(ws[k : k + run], 1):
+                diagonal = np.concatenate([[n - 1], row[:-1]]) + (text != number(w))
+                new = np.minimum(diagonal, row + 1)
+                row = np.minimum.accumulate(new - at) + at
+            best = np.minimum(best, row)
+        for p in np.flatnonzero(best <= 1):
+            out[owner[p], i] = min(int(best[p]), out.get((owner[p], i), run))
+    return out
+
+
+def test_p8_near_finds_all_of_brute_force(spark, data):
+    from spanloom.llm.leakage import _Keys, words
+    from spanloom.llm.skeleton import look_alike_table
+    from spanloom.tables import read
+
+    keys = _Keys(look_alike_table(spark))
+    docs = [(r.doc_id, words(r.text, r.kind, keys)) for r in read(spark, data, "documents").collect()]
+    items = {r.item_id: words(r.text, None, keys) for r in read(spark, data, "benchmark").collect()}
+    want = {(d, i): e for (d, i), e in brute_distances(docs, items, 8).items()}
+    got = {(r.doc_id, r.item_id): r.distance for r in q.p8_near(spark, data).collect()}
+    print("true", len(want), "found", len(got), "both", len(want.keys() & got.keys()))
+    assert got == want

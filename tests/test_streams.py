@@ -81,3 +81,34 @@ def test_snapshots(spark, events):
     finally:
         q.stop()
     assert spark.read.parquet(f"{tmp}/snap").groupBy("batch").agg(F.sum("n").alias("n")).agg(F.max("n")).head()[0] == 600
+
+
+def test_shared_folder_and_release(spark):
+    import os
+
+    from spanloom import session
+
+    session.release(spark)
+    a = session.cut(spark.range(10), "a")
+    where = session._written[-1]
+    assert a.count() == 10 and os.path.isdir(where.removeprefix("file://"))
+    assert session.release(spark) == 1 and not os.path.exists(where.removeprefix("file://"))
+
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Cluster, type("Conf", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session)
+
+
+def test_small_by_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.session import small
+
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array("id", "id").alias("a"))
+    assert small(df) and not small(df, rows=99) and not small(df, size=90_000) and small(df.select("id"), size=1000)
+    assert small(df.limit(0), rows=0, size=0)

@@ -76,10 +76,61 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return _signed(h ^ (h >> 16), 32)
 
 
+def _by_length(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the items by falling length, their lengths in it, and where each begins in their concatenation: a loop over positions then works on a prefix of all items at once."""
+    n = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-n, kind="stable")
+    return order, n[order], (np.cumsum(n) - n)[order]
+
+
+def one_at_a_time_all(texts: list[str | None]) -> np.ndarray:
+    """one_at_a_time of many texts, position by position over all of them."""
+    units = [np.frombuffer((t or "").encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    order, n, start = _by_length(units)
+    flat = np.concatenate(units).astype(np.int32) if units else np.zeros(0, np.int32)
+    h = np.zeros(len(texts), np.int32)
+    with np.errstate(over="ignore"):
+        for p in range(int(n[0]) if len(n) else 0):
+            live = int(np.searchsorted(-n, -p, side="left"))
+            x = h[:live] + flat[start[:live] + p]
+            x = x + (x << 10)
+            h[:live] = x ^ (x >> 6)
+        h = h + (h << 3)
+        h = h ^ (h >> 11)
+        h = h + (h << 15)
+    out = np.empty(len(texts), np.int32)
+    out[order] = h
+    return out
+
+
+def murmur3_32_all(items: list[bytes], seed: int = 0) -> np.ndarray:
+    """murmur3_32 of many byte strings, block by block over all of them."""
+    blocks = [np.frombuffer(x + b"\0" * (-len(x) % 4), "<u4") for x in items]
+    order, n, start = _by_length(blocks)
+    size = np.array([len(x) for x in items], np.uint32)[order] if items else np.zeros(0, np.uint32)
+    flat = np.concatenate(blocks) if blocks else np.zeros(0, np.uint32)
+    h = np.full(len(items), seed & 0xFFFFFFFF, np.uint32)
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    with np.errstate(over="ignore"):
+        for p in range(int(n[0]) if len(n) else 0):
+            live = int(np.searchsorted(-n, -p, side="left"))
+            k = turn(flat[start[:live] + p] * np.uint32(MURMUR_C1), 15) * np.uint32(MURMUR_C2)
+            x = h[:live] ^ k
+            full = size[:live] >= 4 * (p + 1)  # what remains of a text is mixed in without the turn
+            h[:live] = np.where(full, turn(x, 13) * np.uint32(5) + np.uint32(MURMUR_ADD), x)
+        h = h ^ size
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(MURMUR_MIX1)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(MURMUR_MIX2)
+        h = h ^ (h >> np.uint32(16))
+    out = np.empty(len(items), np.int32)
+    out[order] = h.view(np.int32)
+    return out
+
+
 def jenkins(text: Column) -> Column:
     @F.pandas_udf("int")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([one_at_a_time(x) for x in s], dtype="int32")
+        return pd.Series(one_at_a_time_all([None if x is None or x != x else x for x in s]))
 
     return run(text)
 
@@ -93,17 +144,22 @@ def mixed(a: Column, b: Column) -> Column:
 
 
 def sha256_long(text: Column) -> Column:
-    @F.pandas_udf("bigint")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else sha_fold(x) for x in s], dtype="Int64")
+    """sha_fold in the JVM."""
+    hexed = F.sha2(text, 256)
 
-    return run(text)
+    def byte(i):
+        v = F.conv(F.substring(hexed, F.lit(2) * i + 1, F.lit(2)), 16, 10).cast("bigint")
+        return v - F.when(v > 127, 256).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), byte(F.lit(0)), lambda h, i: F.shiftleft(h, 8).bitwiseXOR(byte(i)))
 
 
 def murmur3(text: Column, seed: int = 0) -> Column:
     @F.pandas_udf("int")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else murmur3_32(x.encode(), seed) for x in s], dtype="Int32")
+        none = s.isna()
+        out = pd.Series(murmur3_32_all([b"" if n else x.encode() for x, n in zip(s, none)], seed), dtype="Int32")
+        return out.mask(none.reset_index(drop=True))
 
     return run(text)
 

@@ -131,12 +131,13 @@ def completions(words: DataFrame, word: str, prefixes_: list[str]) -> DataFrame:
     return per.select(word, "n", heads).filter(F.col("prefix").isin(*prefixes_)).distinct().select("prefix", word, "n")
 
 
-def assign_feature_ids(counted: DataFrame, path: str, n: str = "n", least: int = 5, most: int = 1 << 20) -> DataFrame:
-    """path, id: dense unique ids of the paths seen at least `least` times, best first by n - sqrt(children), at most `most` (V9)."""
+def assign_feature_ids(counted: DataFrame, path: str, n: str = "n", least: int = 5, most: int | None = None) -> DataFrame:
+    """path, id: dense unique ids of the paths seen at least `least` times, best first by n - sqrt(children); with `most`, only that many (V9)."""
     kept = counted.filter(F.col(n) >= least)
     parent = kept.filter(F.size(path) > 0).groupBy(F.slice(F.col(path), F.lit(1), F.size(path) - 1).alias(path)).agg(F.count(F.lit(1)).alias("__children"))
     ranked = kept.join(parent, path, "left").withColumn("priority", F.col(n) - F.sqrt(F.coalesce("__children", F.lit(0)))).drop("__children")
-    return dense_ids(ranked, ["-priority", path], "id").filter(F.col("id") < most)
+    out = dense_ids(ranked, ["-priority", path], "id")
+    return out if most is None else out.filter(F.col("id") < most)
 
 
 def prefix_changes(words: DataFrame, word: str, counted: DataFrame) -> DataFrame:

@@ -160,12 +160,12 @@ class Beam:
         return (x[2] for x in sorted(self._items, key=lambda x: x[:2], reverse=True))
 
 
-def best_first(start: Any, moves: Callable[[Any], Iterable[tuple[Any, float]]], width: int, keep_frontier: bool = True, max_pops: int = 10_000) -> tuple[Any, float]:
-    """Beam search (T12, L7): the best state popped (keeping the frontier) or the end of following the best successor only."""
+def best_first(start: Any, moves: Callable[[Any], Iterable[tuple[Any, float]]], width: int, keep_frontier: bool = True, max_pops: int | None = None) -> tuple[Any, float]:
+    """Beam search (T12, L7): the best state popped (keeping the frontier) or the end of following the best successor only. It ends when nothing is left, or after max_pops."""
     beam = Beam(width)
     beam.push((start, 0.0), 0.0)
     best, best_score = start, 0.0 if not keep_frontier else -math.inf
-    for _ in range(max_pops):
+    for _ in count() if max_pops is None else range(max_pops):
         if not len(beam):
             break
         state, score = beam.pop()

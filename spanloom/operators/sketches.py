@@ -30,10 +30,13 @@ def rows_of(key_hash: np.ndarray, depth: int, log_width: int) -> np.ndarray:
 def build(df: DataFrame, key: str, depth: int = 4, log_width: int = 12, conservative: bool = False, bits: int = 32, shards: int = 8) -> DataFrame:
     """shard, shards, depth, log_width, n, cells (binary): one sketch per shard of the keys.
 
-    Keys are counted exactly per key within the shuffle's partial sums and each key lives in one shard, so a conservative
-    sketch, which can't be merged, is asked only where all of a key's counts went. Conservative: only the smallest cells
-    are raised. Cells stop at the largest count of their width.
+    A plain sketch is built by each task over its own rows and the tasks' cells are added, so no key is shuffled; it has one
+    shard. A conservative one, where only the smallest cells are raised, can't be merged: keys are counted exactly within the
+    shuffle's partial sums and each key lives in one shard, which is asked where all of a key's counts went. Cells stop at the
+    largest count of their width.
     """
+    if not conservative:
+        return _merged(df.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")), depth, log_width, CELL_MAX[bits])
     counted = df.filter(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     sharded = counted.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     most, width = CELL_MAX[bits], 1 << log_width
@@ -46,24 +49,46 @@ def build(df: DataFrame, key: str, depth: int = 4, log_width: int = 12, conserva
                 cells, total = held.get(s, (np.zeros((depth, width), np.int64), 0))
                 at = shard == s
                 ix, add = rows_of(h[at], depth, log_width), n[at]
-                if conservative:
-                    for j, a in enumerate(add.tolist()):
-                        c = ix[:, j]
-                        now = cells[np.arange(depth), c]
-                        cells[np.arange(depth), c] = np.maximum(now, now.min() + a)
-                else:
-                    for d in range(depth):
-                        np.add.at(cells[d], ix[d], add)
+                for j, a in enumerate(add.tolist()):
+                    c = ix[:, j]
+                    now = cells[np.arange(depth), c]
+                    cells[np.arange(depth), c] = np.maximum(now, now.min() + a)
                 held[s] = cells, total + int(add.sum())
         rows = [(s, shards, depth, log_width, t, np.minimum(c, most).astype("<i4").tobytes()) for s, (c, t) in held.items()]
         names = ["shard", "shards", "depth", "log_width", "n", "cells"]
         types = [pa.int32()] * 4 + [pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    order = sharded.repartition(shards, "shard").sortWithinPartitions("h") if conservative else sharded.repartition(shards, "shard")
+    order = sharded.repartition(shards, "shard").sortWithinPartitions("h")
     return order.select("shard", "h", "n").mapInArrow(run, "shard int, shards int, depth int, log_width int, n bigint, cells binary")
 
 
+def _merged(hashes: DataFrame, depth: int, log_width: int, most: int) -> DataFrame:
+    width = 1 << log_width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((depth, width), np.int64)
+        for b in batches:
+            ix = rows_of(b.column("h").to_numpy(zero_copy_only=False), depth, log_width)
+            for d in range(depth):
+                cells[d] += np.bincount(ix[d], minlength=width)
+        used = np.flatnonzero(cells.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(cells.ravel()[used])], names=["at", "n"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = np.zeros(depth * width, np.int64)
+            for part in b.column("cells").to_pylist():
+                for c in part or []:
+                    cells[c["at"]] = c["n"]
+            row = [pa.array([0], pa.int32()), pa.array([1], pa.int32()), pa.array([depth], pa.int32()), pa.array([log_width], pa.int32()), pa.array([int(cells[:width].sum())]), pa.array([np.minimum(cells, most).astype("<i4").tobytes()])]
+            yield pa.RecordBatch.from_arrays(row, names=["shard", "shards", "depth", "log_width", "n", "cells"])
+
+    added = hashes.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    # depth x width cells, whatever the input
+    return added.agg(F.collect_list(F.struct("at", "n")).alias("cells")).mapInArrow(pack, "shard int, shards int, depth int, log_width int, n bigint, cells binary")
+
+
 def estimate(keys: DataFrame, key: str, sketches: DataFrame) -> DataFrame:
     """keys with `estimate`, never below the exact count while no cell is full. The sketches' size is fixed by their parameters."""
     held, shards = {}, 1

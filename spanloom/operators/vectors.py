@@ -59,6 +59,10 @@ def sums(df: DataFrame, group: list[str], vector: str, average: bool = False) ->
     return per.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vec"))
 
 
+#: Scores that a task holds at once.
+SCORES = 4_000_000
+
+
 def nearest(queries: DataFrame, base: DataFrame, vector: str, query_id: str, base_id: str, k: int) -> DataFrame:
     """query, neighbour, sim, rank: the k most similar vectors of each query, exact (M5).
 
@@ -88,14 +92,14 @@ def nearest(queries: DataFrame, base: DataFrame, vector: str, query_id: str, bas
                     continue
                 v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
-                m = min(k + 1, s.shape[1])
-                keep = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                # the rank is by the score rounded to 6 decimals, so all that may round like the last one kept are kept too
-                cut_at = np.take_along_axis(s, keep, axis=1).min(axis=1, keepdims=True)
-                rows, cols = np.nonzero(s >= cut_at - 2e-6)
                 base_ids = batch.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[rows]), pa.array(base_ids[cols]), pa.array(s[rows, cols])], names=["query", "neighbour", "sim"])
+                m, some = min(k + 1, len(v)), max(1, SCORES // len(v))
+                for lo in range(0, len(q), some):
+                    s = q[lo : lo + some] @ v.T
+                    # the rank is by the score rounded to 6 decimals, so all that may round like the last one kept are kept too
+                    cut_at = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+                    rows, cols = np.nonzero(s >= cut_at - 2e-6)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(ids[lo : lo + some])[rows]), pa.array(base_ids[cols]), pa.array(s[rows, cols])], names=["query", "neighbour", "sim"])
 
         part = base.filter(F.col(vector).isNotNull()).select(F.col(base_id).cast("bigint"), vector).mapInArrow(run, "query bigint, neighbour bigint, sim double")
         parts = part if parts is None else parts.unionByName(part)

@@ -5,19 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.operators.rejects import CONLLU_COLUMNS
+from spanloom.session import cut, small
 
 CONLLX_COLUMNS = ("id", "form", "lemma", "cpos", "pos", "feats", "head", "deprel", "phead", "pdeprel")
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """file, sent, value: the blocks of a file between blank lines, numbered by their offset in it; files are read whole, one task each."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("value"))
-    return text.select("file", F.posexplode(F.filter(F.split("value", "\n[ \t]*\n+"), lambda b: F.trim(b) != "")).alias("sent", "value"))
+    """file, sent, value: the blocks of a file between blank lines, numbered from 0 in their file.
+
+    An empty line ends a row for the reader, so a large file is read by as many tasks as it has splits; blank lines of other
+    forms (with blanks or carriage returns) part a row afterwards. A block's number is its place in its split and the blocks of
+    the splits before.
+    """
+    text = spark.read.option("lineSep", "\n\n").text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r", "").alias("value"))
+    parts = F.filter(F.split("value", "\n[ \t]*\n+"), lambda b: F.regexp_replace(b, r"\s", "") != "")
+    rows = cut(rows.select("file", "split", "id", F.posexplode(parts).alias("at", "value")), "blocks")
+    sizes = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file", "split", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = F.broadcast(before) if small(before) else before
+    here = F.row_number().over(Window.partitionBy("file", "split").orderBy("id", "at")) - 1
+    return rows.withColumn("here", here).join(before, ["file", "split"]).select("file", (F.col("before") + F.col("here")).cast("int").alias("sent"), "value")
 
 
 def _columns(blocks: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -166,10 +179,14 @@ def is_knowledge_node(c: Column) -> Column:
 
 
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """word, vec of a text file whose first line is `V dim`; rows of another length are left out."""
-    f = F.split("value", " ")
-    df = spark.read.text(path).select(f.alias("f"))
-    return df.filter(F.size("f") > 2).select(F.get("f", F.lit(0)).alias("word"), F.transform(F.filter(F.slice("f", 2, F.size("f") - 1), lambda x: x != ""), lambda x: x.cast("float")).alias("vec"))
+    """word, vec of a text file whose first line is `V dim`; rows that haven't dim numbers are left out."""
+    rows = spark.read.text(path).select(F.filter(F.split("value", " "), lambda x: x != "").alias("f"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_block_start").alias("block"))
+    head = rows.filter("block = 0").agg(F.min_by("f", "id").alias("f"), F.min("id").alias("id")).head()
+    if head["f"] is None:
+        return rows.select(F.lit("").alias("word"), F.array().cast("array<float>").alias("vec")).limit(0)
+    numbers = F.transform(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))), lambda x: x.try_cast("float"))
+    body = rows.filter((F.col("id") != head["id"]) & (F.size("f") == int(head["f"][1]) + 1)).select(F.get("f", F.lit(0)).alias("word"), numbers.alias("vec"))
+    return body.filter(F.forall("vec", lambda x: x.isNotNull()))
 
 
 def cluster_paths(spark: SparkSession, path: str, min_count: int = 3) -> DataFrame:

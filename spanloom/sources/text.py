@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,8 +123,10 @@ def cached(wanted: DataFrame, path: str, key: str, compute, shards: int = 16) ->
     try:
         known = spark.read.parquet(path)
         missing = keys.join(known.select(key), key, "left_anti")
-    except Exception:
-        known, missing = None, keys
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        missing = keys
     if not missing.isEmpty():
         compute(missing).select("*", shard).write.mode("append").partitionBy("shard").parquet(path)
     return spark.read.parquet(path).join(keys, key, "left_semi").drop("shard")

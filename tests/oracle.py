@@ -18,7 +18,7 @@ def connection(folder):
 
 def plain(v):
     if isinstance(v, float):
-        return None if v != v else round(v, 5) + 0.0
+        return None if v != v else round(v, 8) + 0.0
     return v
 
 

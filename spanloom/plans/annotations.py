@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import tags
 from spanloom.operators import counts, hierarchy, joins, layers, trees, vectors
 from spanloom.plans.catalogue import Catalogue
-from spanloom.plans.problems import constituent_nodes, word_nodes
+from spanloom.plans.problems import TREES_SQL, constituent_nodes, word_nodes
 from spanloom.sources.annotated import cluster_of
 from spanloom.tables import PLAIN_NUMBER, current_rows, current_words, read
 
@@ -165,7 +165,7 @@ def _labelled_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def head_percolation(spark: SparkSession, d: str) -> DataFrame:
-    """Which child each inner constituent takes its head from (rules are stateful: no SQL; held against goldens in the tests)."""
+    """Which child each inner constituent takes its head from."""
     return trees.head_children(_labelled_nodes(spark, d))
 
 
@@ -178,12 +178,29 @@ QUERIES["head_percolation"] = head_percolation
 QUERIES["head_percolation_semantic"] = head_percolation_semantic
 
 
+def _head_sql(rules) -> str:
+    rows = ", ".join(f"('{p}', {n}, {str(left).lower()}, '{how}', [{', '.join(repr(x) for x in labels)}]::VARCHAR[])" for p, n, left, how, labels in trees.rule_rows(rules))
+    return f"""WITH {_CONS}, k AS (SELECT c.parse_id AS tree, c.parent::BIGINT AS node, coalesce(p.lhs, '') AS pl, c.cons::BIGINT AS child, coalesce(c.lhs, '') AS label, row_number() OVER (PARTITION BY c.parse_id, c.parent ORDER BY c.first_token NULLS FIRST, c.cons) AS pos
+FROM cn c JOIN cn p ON p.parse_id = c.parse_id AND p.cons = c.parent WHERE c.parent >= 0), rules(pl, rule, is_left, how, labels) AS (VALUES {rows}),
+m AS (SELECT k.*, rule, CASE WHEN is_left THEN pos ELSE -pos END AS scan, CASE WHEN how = 'patient' AND len(labels) > 0 THEN list_position(labels, label) ELSE 0 END AS turn FROM k JOIN rules USING (pl)
+WHERE len(labels) = 0 OR (how = 'exclude') <> list_contains(labels, label)),
+best AS (SELECT tree, node, child FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY rule, turn, scan) AS rn FROM m) WHERE rn = 1)
+SELECT tree, node, coalesce(best.child, last.child) AS head_child FROM (SELECT tree, node, max_by(child, pos) AS child FROM k GROUP BY 1, 2) last LEFT JOIN best USING (tree, node)"""
+
+
+SQL["head_percolation"] = _head_sql(trees.HEAD_RULES)
+SQL["head_percolation_semantic"] = _head_sql(trees.SEMANTIC_HEAD_RULES)
+
+
 def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Subtree sizes of all constituents, held against a brute-force walk in the tests."""
     return hierarchy.hierarchy(constituent_nodes(spark, d)).filter("state = 'tree'").select("tree", "node", "depth", "subtree_size")
 
 
 QUERIES["subtree_sizes"] = subtree_sizes
+SQL["subtree_sizes"] = TREES_SQL + """
+SELECT a.tree_id AS tree, a.node, (len(string_split(a.path, '/')) - 1)::INTEGER AS depth, count(b.node) AS subtree_size FROM p a LEFT JOIN p b ON b.source = a.source AND b.tree_id = a.tree_id AND (b.path = a.path OR starts_with(b.path, a.path || '/'))
+WHERE a.source = 'constituents' GROUP BY ALL"""
 
 
 def shortest_path_constituents(spark: SparkSession, d: str) -> DataFrame:

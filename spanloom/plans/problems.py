@@ -100,7 +100,7 @@ FROM r LEFT JOIN vk ON vk.attr = r.a AND vk.k = r.k AND r.vt = 'category')
 """
 
 #: The nodes of both sources (n), the paths from roots (p) and the nodes whose way up ends nowhere (d).
-_TREES = """WITH RECURSIVE cn AS (SELECT parse_id, cons, parent, left_child, right_sib FROM (SELECT *, row_number() OVER (PARTITION BY parse_id, cons ORDER BY loaded_at DESC NULLS LAST) AS rn FROM constituents) WHERE rn = 1),
+TREES_SQL = """WITH RECURSIVE cn AS (SELECT parse_id, cons, parent, left_child, right_sib FROM (SELECT *, row_number() OVER (PARTITION BY parse_id, cons ORDER BY loaded_at DESC NULLS LAST) AS rn FROM constituents) WHERE rn = 1),
 own AS (SELECT parse_id, left_child AS cons, min(cons) AS q FROM cn WHERE left_child >= 0 GROUP BY 1, 2),
 lead AS (SELECT parse_id, cons, q, 0 AS hop FROM own UNION ALL SELECT l.parse_id, c.right_sib, q, hop + 1 FROM lead l JOIN cn c ON c.parse_id = l.parse_id AND c.cons = l.cons WHERE c.right_sib >= 0 AND hop < 200),
 led AS (SELECT parse_id, cons, arg_min(q, hop * 100000 + q) AS q FROM lead GROUP BY 1, 2),
@@ -142,12 +142,12 @@ WHEN NOT (regexp_full_match(id, '[1-9][0-9]*') OR regexp_full_match(id, '(0|[1-9
 WHEN regexp_full_match(id, '[1-9][0-9]*') AND (NOT regexp_full_match(head, '0|[1-9][0-9]*') OR head = id) THEN 'head' WHEN NOT regexp_full_match(id, '[1-9][0-9]*') AND head <> '_' THEN 'head'
 WHEN bare <> '_' AND (NOT regexp_full_match(bare, '{_PAIR}(\\|{_PAIR})*') OR len(list_distinct([split_part(x, '=', 1) for x in string_split(bare, '|')])) <> len(string_split(bare, '|'))) THEN 'feats' END AS reason FROM k)
 SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
-    "p6_found": _TREES + """
+    "p6_found": TREES_SQL + """
 SELECT n.source, n.tree_id, n.node, coalesce(p.path, CASE WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END) AS path FROM n LEFT JOIN p USING (source, tree_id, node) LEFT JOIN d USING (source, tree_id, node)""",
-    "p6_hierarchies": _TREES + _FOREST + """
+    "p6_hierarchies": TREES_SQL + _FOREST + """
 SELECT n.source, n.tree_id AS tree, n.node, CASE WHEN p.path IS NOT NULL THEN 'tree' WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END AS state, coalesce(p.path, CASE WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END) AS path,
 CAST(CASE WHEN p.path IS NOT NULL THEN len(string_split(p.path, '/')) - 1 END AS INTEGER) AS depth, CAST(split_part(p.path, '/', 1) AS BIGINT) AS root, CASE WHEN f.node IS NOT NULL THEN 1 + coalesce(c.n, 0) END AS subtree_size
 FROM n LEFT JOIN p USING (source, tree_id, node) LEFT JOIN d USING (source, tree_id, node) LEFT JOIN f USING (source, tree_id, node) LEFT JOIN (SELECT source, tree_id, anc AS node, count(*) AS n FROM below GROUP BY ALL) c USING (source, tree_id, node)""",
-    "p6_descendants": _TREES + _FOREST + """
+    "p6_descendants": TREES_SQL + _FOREST + """
 SELECT source, tree_id AS tree, anc AS node, node AS descendant, distance FROM below""",
 }

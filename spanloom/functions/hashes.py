@@ -169,6 +169,11 @@ def interleave(y: Column, size: Column | int, x: Column) -> Column:
     return x * size + y
 
 
+def hashed_lines(df, line: str = "value", by=sha256_long):
+    """value: each line behind its hash in hexadecimal digits and a tab (K9)."""
+    return df.select(F.concat(F.lower(F.lpad(F.hex(by(F.col(line))), 16, "0")), F.lit("\t"), F.col(line)).alias("value"))
+
+
 def composite(*cols: Column) -> Column:
     """One 64-bit key of several columns (H8), in the JVM."""
     return F.xxhash64(*cols)

@@ -72,4 +72,5 @@ def expansion_priority(observations: Column, children: Column) -> Column:
 
 def contiguous(items: Column) -> Column:
     """Whether an array of numbers ascends in steps of one."""
-    return F.forall(F.sequence(F.lit(1), F.size(items) - 1), lambda i: F.element_at(items, i + 1) == F.element_at(items, i) + 1) | (F.size(items) < 2)
+    steps = F.when(F.size(items) < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(items) - 1))
+    return F.forall(steps, lambda i: F.element_at(items, i + 1) == F.element_at(items, i) + 1)

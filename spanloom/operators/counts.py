@@ -98,6 +98,30 @@ def encode(df: DataFrame, value: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col(value), F.col("id")), value, "left").withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
+def encode_columns(lines: DataFrame, line: str, order: str, columns: list[int]) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Tab-separated lines with the values of chosen columns as ids, and the dictionary of each column (K8).
+
+    Ids are dense from 0 in order of first appearance by `order`. A line that lacks a chosen column keeps an empty cell
+    there. Other columns of the table stay.
+    """
+    cells = lines.withColumn("__cells", F.split(line, "\t", -1))
+    ids = {}
+    for c in columns:
+        cells = cells.withColumn(f"__v{c}", F.get("__cells", F.lit(c)))
+        ids[c] = dictionary(cells.select(F.col(f"__v{c}").alias("value"), order), "value", order)
+    for c in columns:
+        known = ids[c].select(F.col("value").alias(f"__v{c}"), F.col("id").cast("string").alias(f"__i{c}"))
+        cells = cells.join(known, f"__v{c}", "left")
+
+    def cell(x, i):
+        for c in columns:
+            x = F.when(i == c, F.coalesce(f"__i{c}", F.lit(""))).otherwise(x)
+        return x
+
+    put = F.transform("__cells", cell)
+    return cells.withColumn(line, F.array_join(put, "\t")).select(*lines.columns), ids
+
+
 def decode(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     return df.join(ids, id_col, "left")
 

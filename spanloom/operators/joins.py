@@ -16,6 +16,11 @@ def missing_keys(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return wanted.join(known.select(key), key, "left_anti")
 
 
+def once_each(df: DataFrame, same: str, key: str) -> DataFrame:
+    """key (the smallest), n: rows whose column `same` is equal, once each (H9); repeats meet in a map-side minimum."""
+    return df.groupBy(same).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n")).drop(same)
+
+
 def unique_match(df: DataFrame, condition: Column, what: str = "match", allow_none: bool = False) -> DataFrame:
     """The one row that meets the condition; an error if there are none (unless allowed) or several."""
     found = df.filter(condition)

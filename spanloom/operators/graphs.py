@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.running import running
 from spanloom.session import cut
 
 
@@ -82,13 +83,12 @@ def walks(edges: DataFrame, k: int, starts: DataFrame) -> DataFrame:
 
 
 def runs(df: DataFrame, group: list[str], order: str, flag: str) -> DataFrame:
-    """group, first, last: maximal runs of consecutive positions where the flag holds (G9's compounds, gaps and islands)."""
-    hit = df.filter(F.col(flag))
-    island = F.col(order) - F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return hit.withColumn("__i", island).groupBy(*group, "__i").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("__i")
+    """group, first, last: maximal runs of consecutive positions where the flag holds (G9's compounds, gaps and islands); a group of any size is spread by range."""
+    hit = running(df.filter(F.col(flag)).select(*group, order), group, [order], {"__n": F.lit(1)})
+    return hit.withColumn("__i", F.col(order) - F.col("__n")).groupBy(*group, "__i").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("__i")
 
 
 def suppress_repeats(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """Rows whose value differs from the row before."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("__prev", F.lag(value).over(w)).filter(F.col("__prev").isNull() | (F.col("__prev") != F.col(value))).drop("__prev")
+    """Rows whose value differs from the row before (W7); the order must be total in a group, which is spread by range whatever its size."""
+    back = running(df, group, [f"-{o}" for o in order], {"__n": F.lit(1)}, {"__prev": value})
+    return back.filter(F.col("__prev").isNull() | (F.col("__prev") != F.col(value))).select(*df.columns)

@@ -30,6 +30,7 @@ def running(df: DataFrame, group: list[str], order: list[str], amounts: dict[str
     if lead:
         firsts = ranged.withColumn("__rn", F.row_number().over(local)).filter("__rn = 1").select(*group, "__part", *[F.col(c).alias(f"__f_{n}") for n, c in lead.items()])
         cells = _join(cells, firsts, [*group, "__part"])
+    cells = cut(cells, "cells")
     across, whole = Window.partitionBy(*group).orderBy("__part"), Window.partitionBy(*group)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.numbers import inverse_document_frequency
 from spanloom.operators.topk import top_per_group
-from spanloom.session import with_scalar
+from spanloom.session import cut, small, with_scalar
 
 
 def whitespace_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,15 +72,21 @@ def components(tf: DataFrame, kind: str = "plain", temperature: float = 1.0) ->
     return with_idf(tf).select("doc", "term", _component(kind, temperature).alias("w"), "idf")
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    df = cut(df, "bounded")
+    return F.broadcast(df) if small(df) else df
+
+
 def cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     """doc_l, doc_r, sim of two sets of sparse vectors (doc, term, w): equi-join on the term, only pairs that share one.
 
-    Either side should be a stated, bounded set of vectors (queries, label prototypes); the join is never all against all.
+    The right side should be a stated, bounded set of vectors (queries, label prototypes); the join is never all against all.
+    Where its size allows, it is broadcast, so a term that is in every document of the left gathers nothing.
     """
     norm = lambda df: df.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (
         left.select(F.col("doc").alias("doc_l"), "term", F.col("w").alias("wl"))
-        .join(right.select(F.col("doc").alias("doc_r"), "term", F.col("w").alias("wr")), "term")
+        .join(_bounded(right.select(F.col("doc").alias("doc_r"), "term", F.col("w").alias("wr"))), "term")
         .groupBy("doc_l", "doc_r").agg(F.sum(F.col("wl") * F.col("wr")).alias("dot"))
     )
     j = dot.join(norm(left).select(F.col("doc").alias("doc_l"), F.col("norm").alias("nl")), "doc_l").join(norm(right).select(F.col("doc").alias("doc_r"), F.col("norm").alias("nr")), "doc_r")
@@ -93,7 +99,7 @@ def cosine_maxexp(left: DataFrame, right: DataFrame, temperature: float = 1.0) -
     The pair's maximum is known only per pair, so norms can't be computed beforehand; pairs that share a term are formed
     first, then both vectors are joined to their pairs.
     """
-    pairs = left.select(F.col("doc").alias("doc_l"), "term").join(right.select(F.col("doc").alias("doc_r"), "term"), "term").select("doc_l", "doc_r").distinct()
+    pairs = left.select(F.col("doc").alias("doc_l"), "term").join(_bounded(right.select(F.col("doc").alias("doc_r"), "term")), "term").select("doc_l", "doc_r").distinct()
     top = lambda df, d: df.groupBy(F.col("doc").alias(d)).agg(F.max("idf").alias(f"m_{d}"))
     pairs = pairs.join(top(left, "doc_l"), "doc_l").join(top(right, "doc_r"), "doc_r").select("doc_l", "doc_r", F.greatest("m_doc_l", "m_doc_r").alias("m"))
     w = F.col("w") * F.sqrt(F.exp(F.when(F.col("m") > 0, F.col("idf") / F.col("m")).otherwise(0.0) * temperature))

@@ -65,6 +65,15 @@ def span_to_constituent(spark: SparkSession, d: str) -> DataFrame:
     return joins.smallest_spans(rows.withColumn("depth", F.lit(0)), ["parse_id"], "first_token", "last_token", "depth", "cons")
 
 
+@C.add(TREES_SQL + f""", deep AS (SELECT tree_id AS parse_id, node AS cons, len(string_split(path, '/')) AS depth FROM p WHERE source = 'constituents'), s AS (SELECT parse_id, cons, first_token, last_token, depth FROM (SELECT parse_id, cons, first_token, last_token, row_number() OVER (PARTITION BY parse_id, cons ORDER BY loaded_at DESC NULLS LAST) AS rn FROM constituents) JOIN deep USING (parse_id, cons) WHERE rn = 1 AND first_token IS NOT NULL AND last_token IS NOT NULL)
+SELECT parse_id, first_token, last_token, cons FROM (SELECT *, row_number() OVER (PARTITION BY parse_id, first_token, last_token ORDER BY depth, cons) AS r FROM s) WHERE r = 1""")
+def shallowest_constituents(spark: SparkSession, d: str) -> DataFrame:
+    """The shallowest constituent of each span, by the depths of the hierarchy."""
+    rows = current_rows(read(spark, d, "constituents"), ["parse_id", "cons"], ["loaded_at"], ["first_token", "last_token"]).filter("first_token is not null and last_token is not null")
+    h = hierarchy.hierarchy(constituent_nodes(spark, d)).filter("state = 'tree'").select(F.col("tree").alias("parse_id"), F.col("node").cast("int").alias("cons"), "depth")
+    return joins.smallest_spans(rows.join(h, ["parse_id", "cons"]), ["parse_id"], "first_token", "last_token", "depth", "cons")
+
+
 @C.add(f"""WITH {_CONS}, sp AS (SELECT parse_id, cons, first_token AS s, last_token AS e FROM cn WHERE first_token = last_token), b AS (SELECT parse_id, cons, first_token AS s, last_token AS e FROM cn WHERE last_token > first_token)
 SELECT sp.parse_id, sp.cons AS leaf, b.cons AS over FROM sp JOIN b ON b.parse_id = sp.parse_id AND sp.s BETWEEN b.s AND b.e""")
 def leaf_covering_constituents(spark: SparkSession, d: str) -> DataFrame:

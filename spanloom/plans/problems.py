@@ -118,6 +118,17 @@ below AS (SELECT f.source, f.tree_id, f.node, f.up AS anc, 1 AS distance FROM f
 
 _PAIR = "\\p{Lu}[\\p{L}\\p{N}]*(\\[[\\p{L}\\p{N}]+\\])?=[A-Z0-9][A-Za-z0-9]*(,[A-Z0-9][A-Za-z0-9]*)*"
 
+#: Each line that is a case, its cells and the first reason against it.
+_FAULTS = f"""l AS (SELECT line_id, regexp_replace(regexp_replace(line, '^' || chr(65279), ''), chr(13) || '$', '') AS t FROM conllu_lines WHERE line IS NOT NULL),
+f AS (SELECT line_id, string_split(t, chr(9)) AS c FROM l WHERE NOT starts_with(t, '#') AND NOT regexp_full_match(t, '[ \\t\\n\\r\\f\\x0B]*')),
+g AS (SELECT line_id, c, len(c) AS n, c[1] AS id, c[6] AS feats, c[7] AS head, length(c[6]) - length(replace(c[6], '"', '')) AS q FROM f),
+h AS (SELECT *, q = 2 AND length(feats) >= 2 AND starts_with(feats, '"') AND ends_with(feats, '"') AS around FROM g),
+k AS (SELECT *, CASE WHEN around THEN feats[2:length(feats) - 1] ELSE feats END AS bare FROM h),
+r AS (SELECT line_id, c, bare, CASE WHEN n <> 10 THEN 'columns' WHEN q > 0 AND NOT around THEN 'quoting'
+WHEN NOT (regexp_full_match(id, '[1-9][0-9]*') OR regexp_full_match(id, '(0|[1-9][0-9]*)\\.[1-9][0-9]*') OR (regexp_full_match(id, '[1-9][0-9]*-[1-9][0-9]*') AND TRY_CAST(split_part(id, '-', 1) AS HUGEINT) < TRY_CAST(split_part(id, '-', 2) AS HUGEINT))) THEN 'id'
+WHEN regexp_full_match(id, '[1-9][0-9]*') AND (NOT regexp_full_match(head, '0|[1-9][0-9]*') OR head = id) THEN 'head' WHEN NOT regexp_full_match(id, '[1-9][0-9]*') AND head <> '_' THEN 'head'
+WHEN bare <> '_' AND (NOT regexp_full_match(bare, '{_PAIR}(\\|{_PAIR})*') OR len(list_distinct([split_part(x, '=', 1) for x in string_split(bare, '|')])) <> len(string_split(bare, '|'))) THEN 'feats' END AS reason FROM k)"""
+
 SQL = {
     "p2_found": P2_FOUND,
     "p2_delimiters": P2_DELIMITERS,
@@ -132,16 +143,10 @@ max(v) FILTER (a = 'Person') AS person, max(v) FILTER (a = 'Poss') = 'true' AS p
 max(v) FILTER (a = 'Typo') = 'true' AS typo, max(v) FILTER (a = 'VerbForm') AS verbform, coalesce(any_value(unread), '') AS unread
 FROM ids LEFT JOIN got USING (word_id) LEFT JOIN u USING (word_id) GROUP BY 1""",
     "p4_failures": _READ + """SELECT row_no, word_id, attr, val, CASE WHEN trim(coalesce(attr, '')) = '' THEN 'no name' WHEN a IS NULL THEN 'unknown attribute' WHEN trim(coalesce(val, '')) = '' THEN 'no value' ELSE 'unreadable value' END AS reason FROM x WHERE v IS NULL""",
-    "p5_found": f"""WITH l AS (SELECT line_id, regexp_replace(regexp_replace(line, '^' || chr(65279), ''), chr(13) || '$', '') AS t FROM conllu_lines WHERE line IS NOT NULL),
-f AS (SELECT line_id, string_split(t, chr(9)) AS c FROM l WHERE NOT starts_with(t, '#') AND NOT regexp_full_match(t, '[ \\t\\n\\r\\f\\x0B]*')),
-g AS (SELECT line_id, len(c) AS n, c[1] AS id, c[6] AS feats, c[7] AS head, length(c[6]) - length(replace(c[6], '"', '')) AS q FROM f),
-h AS (SELECT *, q = 2 AND length(feats) >= 2 AND starts_with(feats, '"') AND ends_with(feats, '"') AS around FROM g),
-k AS (SELECT *, CASE WHEN around THEN feats[2:length(feats) - 1] ELSE feats END AS bare FROM h),
-r AS (SELECT line_id, CASE WHEN n <> 10 THEN 'columns' WHEN q > 0 AND NOT around THEN 'quoting'
-WHEN NOT (regexp_full_match(id, '[1-9][0-9]*') OR regexp_full_match(id, '(0|[1-9][0-9]*)\\.[1-9][0-9]*') OR (regexp_full_match(id, '[1-9][0-9]*-[1-9][0-9]*') AND TRY_CAST(split_part(id, '-', 1) AS HUGEINT) < TRY_CAST(split_part(id, '-', 2) AS HUGEINT))) THEN 'id'
-WHEN regexp_full_match(id, '[1-9][0-9]*') AND (NOT regexp_full_match(head, '0|[1-9][0-9]*') OR head = id) THEN 'head' WHEN NOT regexp_full_match(id, '[1-9][0-9]*') AND head <> '_' THEN 'head'
-WHEN bare <> '_' AND (NOT regexp_full_match(bare, '{_PAIR}(\\|{_PAIR})*') OR len(list_distinct([split_part(x, '=', 1) for x in string_split(bare, '|')])) <> len(string_split(bare, '|'))) THEN 'feats' END AS reason FROM k)
+    "p5_found": f"""WITH {_FAULTS}
 SELECT line_id, reason FROM r WHERE reason IS NOT NULL""",
+    "p5_valid": f"""WITH {_FAULTS}
+SELECT line_id, file_name, line_no, c[1] AS id, c[2] AS form, c[3] AS lemma, c[4] AS upos, c[5] AS xpos, bare AS feats, c[7] AS head, c[8] AS deprel, c[9] AS deps, c[10] AS misc FROM r JOIN (SELECT line_id, file_name, line_no FROM conllu_lines) USING (line_id) WHERE reason IS NULL""",
     "p6_found": TREES_SQL + """
 SELECT n.source, n.tree_id, n.node, coalesce(p.path, CASE WHEN d.node IS NOT NULL THEN 'dangling' ELSE 'cycle' END) AS path FROM n LEFT JOIN p USING (source, tree_id, node) LEFT JOIN d USING (source, tree_id, node)""",
     "p6_hierarchies": TREES_SQL + _FOREST + """

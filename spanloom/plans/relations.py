@@ -371,6 +371,56 @@ def gradient_step(spark: SparkSession, d: str) -> DataFrame:
     return learning.gradient_epoch(f.join(y, "k"), zero, ["k"], "y", 1.0).select("feature", F.round("weight", 6).alias("weight"))
 
 
+@C.add("""WITH f AS (SELECT o_custkey AS k, o_orderpriority AS feature, count(*)::DOUBLE AS value FROM orders GROUP BY 1, 2), y AS (SELECT o_custkey AS k, max(o_totalprice) > 300000 AS y FROM orders GROUP BY 1), w AS (SELECT DISTINCT feature, length(feature) / 100.0 AS w FROM f),
+z AS (SELECT k, sum(value * w) AS z FROM f JOIN w USING (feature) GROUP BY 1), e AS (SELECT k, y::INT - 1 / (1 + exp(-z)) AS e FROM y JOIN z USING (k)) SELECT feature, round(any_value(w) + 0.5 * (sum(value * e) / (SELECT count(*) FROM e) - 0.1 * any_value(w)), 6) AS weight FROM f JOIN e USING (k) JOIN w USING (feature) GROUP BY 1""")
+def gradient_step_onward(spark: SparkSession, d: str) -> DataFrame:
+    """A step of logistic regression from weights that aren't zero, with a penalty (L3)."""
+    from spanloom.operators import learning
+
+    o = read(spark, d, "orders")
+    f = o.groupBy(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("feature")).agg(F.count("*").cast("double").alias("value"))
+    y = o.groupBy(F.col("o_custkey").alias("k")).agg((F.max("o_totalprice") > 300000).alias("y"))
+    start = f.select("feature").distinct().select("feature", (F.length("feature") / 100.0).alias("weight"))
+    return learning.gradient_epoch(f.join(y, "k"), start, ["k"], "y", 0.5, 0.1).select("feature", F.round("weight", 6).alias("weight"))
+
+
+#: Labelled rows that the perceptron is fitted on, at most; the model scores all rows.
+FITTED_ROWS = 2_000
+
+
+@C.add("SELECT c_custkey, c_nationkey < 12 AS predicted FROM customer WHERE c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL")
+def kernel_perceptron_fit(spark: SparkSession, d: str) -> DataFrame:
+    """A kernel perceptron fitted on a bounded sample of labelled rows, predicting all (L1); the label can be learnt from the features."""
+    from spanloom.operators import learning, sampling
+
+    c = read(spark, d, "customer").filter("c_nationkey is not null and c_mktsegment is not null")
+    rows = c.select("c_custkey", F.array(F.col("c_nationkey").cast("int"), F.lit(100) + F.pmod(F.hash("c_mktsegment"), F.lit(10))).alias("x"), (F.col("c_nationkey") < 12).alias("y"))
+    sample = [(r["x"], r["y"]) for r in sampling.reservoir(rows, ["c_custkey"], FITTED_ROWS).collect()]
+    model = learning.KernelPerceptron(budget=200)
+    for _ in range(20):
+        if not any([model.update(x, y) for x, y in sample]):
+            break
+    return learning.score_rows(rows, model, "x").select("c_custkey", (F.col("score") > 0).alias("predicted"))
+
+
+@C.add("SELECT o_custkey, sum(greatest(floor(o_totalprice) - 150000, 0))::DOUBLE AS score FROM orders GROUP BY 1")
+def beam_search_path(spark: SparkSession, d: str) -> DataFrame:
+    """Best-first search in each customer's orders: each order is taken, with its gain, or left."""
+    from spanloom.operators import learning
+
+    def moves_of(pdf):
+        gains = [float(g) for g in pdf.sort_values("o_orderkey")["gain"]]
+
+        def moves(state):
+            at = state[0]
+            return [((at + 1, *state[1:], at), gains[at]), ((at + 1, *state[1:]), 0.0)] if at < len(gains) else []
+
+        return (0,), moves
+
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", (F.floor("o_totalprice") - 150000).alias("gain"))
+    return learning.search_groups(o, "o_custkey", moves_of, 1).select("o_custkey", "score")
+
+
 @C.add("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS n, round(greatest(max(l_tax), 0), 6) AS max_w FROM lineitem GROUP BY 1, 2""")
 def weight_summaries(spark: SparkSession, d: str) -> DataFrame:
     l = read(spark, d, "lineitem")  # noqa: E741

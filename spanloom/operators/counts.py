@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.operators.running import running
+from spanloom.operators.running import LIST_VALUES, in_parts, running
 from spanloom.session import with_scalar
 
 
@@ -56,16 +56,17 @@ def weighted_sums(df: DataFrame, key: str, weight: str) -> DataFrame:
     return df.groupBy(key).agg(F.sum(weight).alias("total"))
 
 
-def collect_values(df: DataFrame, key: str, value: str, order: list[str] | None = None) -> DataFrame:
-    """key, vals, n: all values of a key in a stated order (A25); one list per key, for keys with a bounded number of values."""
+def collect_values(df: DataFrame, key: str, value: str, order: list[str] | None = None, most: int = LIST_VALUES) -> DataFrame:
+    """key, part, vals, n: all values of a key in a stated order (A25); a key with more than `most` values has several rows, in order of part."""
     item = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order or [value])], F.col(value).alias("v"))
-    return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("vals"), F.count(value).alias("n"))
+    df = in_parts(df.select(*dict.fromkeys([key, *(order or []), value])), [key], list(dict.fromkeys([*(order or []), value])), most)
+    return df.groupBy(key, "part").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("vals"), F.count(value).alias("n"))
 
 
-def collect_unique(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, vals: the distinct values in order (A26); they are brought together per (key, value) first, so repeated rows never travel."""
-    one = df.select(key, value).distinct()
-    return one.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("vals"))
+def collect_unique(df: DataFrame, key: str, value: str, most: int = LIST_VALUES) -> DataFrame:
+    """key, part, vals: the distinct values in order (A26); they are brought together per (key, value) first, so repeated rows never travel; parts as in collect_values."""
+    one = in_parts(df.select(key, value).distinct(), [key], [value], most)
+    return one.groupBy(key, "part").agg(F.array_sort(F.collect_list(value)).alias("vals"))
 
 
 def project(entries: DataFrame, keys: DataFrame, key: str) -> DataFrame:

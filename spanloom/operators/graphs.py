@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.running import running
+from spanloom.operators.running import LIST_VALUES, in_parts, running
 from spanloom.session import cut
 
 
@@ -23,10 +23,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_directions(edges).groupBy("node").agg(n(F.col("outgoing")).alias("n_children"), n(~F.col("outgoing")).alias("n_parents"))
 
 
-def neighbours(edges: DataFrame, outgoing: bool = True) -> DataFrame:
-    """node, list of (label, conode): children ascending, parents descending (G3); for graphs of bounded degree."""
+def neighbours(edges: DataFrame, outgoing: bool = True, most: int = LIST_VALUES) -> DataFrame:
+    """node, part, list of (label, conode): children ascending, parents descending (G3); a node with more than `most` neighbours has several rows, in order of part."""
     lists = F.sort_array(F.collect_list(F.struct("label", "conode")), asc=outgoing)
-    return both_directions(edges).filter(F.col("outgoing") == outgoing).groupBy("node").agg(lists.alias("neighbours"))
+    mine = both_directions(edges).filter(F.col("outgoing") == outgoing).drop("outgoing")
+    mine = in_parts(mine, ["node"], ["label", "conode"] if outgoing else ["-label", "-conode"], most)
+    return mine.groupBy("node", "part").agg(lists.alias("neighbours"))
 
 
 def roots(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from spanloom.session import cut, small
 
 
+#: The longest list that is gathered into one row.
+LIST_VALUES = 100_000
+
+
 def ordering(names: list[str]) -> list[Column]:
     """Columns to sort by; a leading minus turns one."""
     return [F.col(n[1:]).desc() if n.startswith("-") else F.col(n) for n in names]
@@ -47,6 +51,19 @@ def running(df: DataFrame, group: list[str], order: list[str], amounts: dict[str
     return out.select(*df.columns, *amounts, *[f"{n}_total" for n in amounts], *lead)
 
 
+def in_parts(df: DataFrame, group: list[str], order: list[str], most: int = LIST_VALUES) -> DataFrame:
+    """df with `part`: 0 in groups of at most `most` rows; larger groups are cut into parts of so many rows, in order.
+
+    So whoever gathers (group, part) into a list gathers no more than `most` rows, and a group loses nothing. Sizes come from
+    a map-side count; rows are only sorted, by range over the cluster, if there is a larger group.
+    """
+    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+    if large.isEmpty():
+        return df.withColumn("part", F.lit(0).cast("bigint"))
+    out = running(df, group, order, {"__n": F.lit(1)})
+    return out.withColumn("part", F.floor((F.col("__n") - 1) / most)).drop("__n", "__n_total")
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys that may be null."""
     r = right.select(*[F.col(k).alias(f"__j_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])

@@ -85,3 +85,17 @@ def test_multimaps(spark):
     df = spark.createDataFrame([("a", 2), ("a", 1), ("a", 2), (None, 5)], "k string, v int")
     assert {r.k: (r.vals, r.n) for r in counts.collect_values(df, "k", "v").collect()} == {"a": ([1, 2, 2], 3), None: ([5], 1)}
     assert {r.k: r.vals for r in counts.collect_unique(df, "k", "v").collect()} == {"a": [1, 2], None: [5]}
+
+
+def test_long_lists_come_in_parts(spark):
+    from spanloom.operators import graphs
+
+    df = spark.createDataFrame([("a", i % 50) for i in range(100)] + [("b", 1)], "k string, v bigint")
+    rows = sorted((r.k, r.part, r.vals) for r in counts.collect_values(df, "k", "v", most=30).collect())
+    assert [len(v) for _, _, v in rows] == [30, 30, 30, 10, 1]
+    assert [x for k, _, v in rows for x in v if k == "a"] == sorted(i % 50 for i in range(100))
+    rows = sorted((r.k, r.part, r.vals) for r in counts.collect_unique(df, "k", "v", most=30).collect())
+    assert [x for k, _, v in rows for x in v if k == "a"] == list(range(50)) and len(rows) == 3
+    e = spark.createDataFrame([(1, i, i % 3) for i in range(20)], "parent bigint, child bigint, label bigint")
+    got = sorted((r.part, [tuple(x) for x in r.neighbours]) for r in graphs.neighbours(e, most=6).collect())
+    assert [x for _, v in got for x in v] == sorted((i % 3, i) for i in range(20)) and len(got) == 4

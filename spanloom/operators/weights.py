@@ -73,7 +73,6 @@ def components(tf: DataFrame, kind: str = "plain", temperature: float = 1.0) ->
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    df = cut(df, "bounded")
     return F.broadcast(df) if small(df) else df
 
 
@@ -83,6 +82,7 @@ def cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     The right side should be a stated, bounded set of vectors (queries, label prototypes); the join is never all against all.
     Where its size allows, it is broadcast, so a term that is in every document of the left gathers nothing.
     """
+    right = cut(right.select("doc", "term", "w"), "bounded")
     norm = lambda df: df.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (
         left.select(F.col("doc").alias("doc_l"), "term", F.col("w").alias("wl"))
@@ -99,6 +99,7 @@ def cosine_maxexp(left: DataFrame, right: DataFrame, temperature: float = 1.0) -
     The pair's maximum is known only per pair, so norms can't be computed beforehand; pairs that share a term are formed
     first, then both vectors are joined to their pairs.
     """
+    right = cut(right.select("doc", "term", "w", "idf"), "bounded")
     pairs = left.select(F.col("doc").alias("doc_l"), "term").join(_bounded(right.select(F.col("doc").alias("doc_r"), "term")), "term").select("doc_l", "doc_r").distinct()
     top = lambda df, d: df.groupBy(F.col("doc").alias(d)).agg(F.max("idf").alias(f"m_{d}"))
     pairs = pairs.join(top(left, "doc_l"), "doc_l").join(top(right, "doc_r"), "doc_r").select("doc_l", "doc_r", F.greatest("m_doc_l", "m_doc_r").alias("m"))

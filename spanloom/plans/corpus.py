@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans, strings
 from spanloom.operators import counts, features, joins, weights
 from spanloom.plans.catalogue import Catalogue
+from spanloom.session import cut
 from spanloom.tables import read
 
 C = Catalogue()
@@ -86,7 +87,7 @@ x AS (SELECT side, doc, term, tf / z AS share, ln(CAST((SELECT n FROM nd) // coa
 
 def _pair_sides(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, d, "documents")
-    table = weights.idf_table(_tf(spark, d))
+    table = cut(weights.idf_table(_tf(spark, d)), "idf")
     left = weights.term_frequencies(weights.whitespace_terms(docs.filter("doc_id % 100 = 0")))
     right = weights.term_frequencies(weights.whitespace_terms(read(spark, d, "benchmark"), "item_id"))
     return weights.weighed(left, table, kind), weights.weighed(right, table, kind)
@@ -120,7 +121,7 @@ def pair_cosine_maxexp(spark: SparkSession, d: str) -> DataFrame:
 # all documents against the evaluation items; in SQL that takes one row per shared term of every pair, so there is none
 def _all_sides(spark: SparkSession, d: str, kind: str) -> tuple[DataFrame, DataFrame]:
     tf = _tf(spark, d)
-    table = weights.idf_table(tf)
+    table = cut(weights.idf_table(tf), "idf")
     right = weights.term_frequencies(weights.whitespace_terms(read(spark, d, "benchmark"), "item_id"))
     return weights.weighed(tf, table, kind), weights.weighed(right, table, kind)
 

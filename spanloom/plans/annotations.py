@@ -224,6 +224,9 @@ def shortest_path_constituents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["shortest_path_constituents"] = shortest_path_constituents
+SQL["shortest_path_constituents"] = f"""WITH RECURSIVE {_CONS}, w AS (SELECT parse_id, cons AS source, cons AS node, 0 AS hops FROM cn WHERE parent < 0 AND parse_id IS NOT NULL AND cons IS NOT NULL
+UNION SELECT w.parse_id, w.source, cn.cons, hops + 1 FROM w JOIN cn ON cn.parse_id = w.parse_id AND cn.parent = w.node WHERE cn.parent >= 0)
+SELECT parse_id || ':' || source AS source, parse_id || ':' || node AS node, min(hops)::INTEGER AS hops FROM w GROUP BY 1, 2"""
 
 
 @C.add(f"""WITH RECURSIVE {_CUR}, n AS (SELECT sent_id, id::BIGINT AS node, nullif(TRY_CAST(head AS BIGINT), 0) AS head FROM cur), k AS (SELECT sent_id, head AS p, min(node) AS f, max(node) AS l FROM n WHERE head IS NOT NULL GROUP BY 1, 2),
